@@ -210,7 +210,7 @@ def _parse_batch(batch: pa.RecordBatch, block_rows: int, leaf_rows: int) -> Iter
         yield pa.RecordBatch.from_arrays([*(batch[k].take(i) for k in _KEYS), *cols], names)
 
 
-def parse_entries(lines: DataFrame, files: DataFrame, block_rows: int = 1024, leaf_rows: int = 8) -> DataFrame:
+def parse_entries(lines: DataFrame, files: DataFrame, block_rows: int = 1024, leaf_rows: int = 32) -> DataFrame:
     """Parse every line of ``lines`` (raw_id, file_id, line_no, line) by its file's field, delim, n_rows and n_cols.
 
     One row for each line that is no comment (does not begin with ``%``): a valid line has its 1-based row and col,
