@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gridloom.llm import groups, mixture, similar, together, tokens
+from gridloom.llm import groups, mixture, similar, spans, together, tokens
 from gridloom.sources.tables import table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -55,7 +55,18 @@ def p7_shares(spark, d):
     return mixture.mix_sources(table(spark, d, "documents"), table(spark, d, "mix_targets"), tokens.tokenizer_path(VOCABULARY))[1]
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_groups, p4_found, p4_pairs, p5_found, p5_links, p6_ids, p7_mixture, p7_shares)}
+def p8_found(spark, d):
+    """The stretches of at least 200 code points that stand in another text too."""
+    return spans.shared_spans(table(spark, d, "documents"), 200)
+
+
+def p8_share(spark, d):
+    """How much of every text stands in another text too."""
+    docs = table(spark, d, "documents")
+    return spans.shared_share(docs, spans.shared_spans(docs, 200))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_groups, p4_found, p4_pairs, p5_found, p5_links, p6_ids, p7_mixture, p7_shares, p8_found, p8_share)}
 
 _GROUPS = """
 WITH RECURSIVE half AS (SELECT DISTINCT least(i, j) AS a, greatest(i, j) AS b FROM pair_matches WHERE i IS NOT NULL AND j IS NOT NULL AND i <> j),
