@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from gridloom.plans import data_queries
+from gridloom.plans import data_queries, matrix_queries
 
-FLAGSHIP = "p3_sums"
-QUERIES = {**data_queries.QUERIES}
-SQL = {**data_queries.SQL}
+FLAGSHIP = "feature_extractor_all"
+QUERIES = {**data_queries.QUERIES, **matrix_queries.QUERIES}
+SQL = {**data_queries.SQL, **matrix_queries.SQL}
