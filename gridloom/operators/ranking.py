@@ -17,8 +17,10 @@ def rank_all(df: DataFrame, order: list[Column | str], name: str = "pos", scratc
     """``df`` with the rank of each row from 0 in ``order``, which must be total for the ranks to be defined."""
     scratch = scratch or Scratch(df.sparkSession, "rank")
     cols = df.columns
+    df = df.persist()  # a range partitioning reads its input twice, first for a sample
     placed = df.repartitionByRange(shuffle_width(df.sparkSession), *order).sortWithinPartitions(*order)
     placed = scratch.write(placed.select(*cols, F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_at")))
+    df.unpersist()
     sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = sizes.select("_part", (before - F.col("_first")).alias("_shift"))
