@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from gridloom.operators.ranking import rank_all
+from gridloom.operators.ranking import in_order, rank_all
 from gridloom.runtime import Scratch
 
 
@@ -24,18 +24,18 @@ def components(vertices: DataFrame, edges: DataFrame, scratch: Scratch | None =
         offered = edges.join(now.withColumnRenamed("id", "v"), "v").groupBy("u").agg(F.min("comp").alias("low"))
         own = now.join(offered.withColumnRenamed("u", "id"), "id", "left").select("id", "comp", F.least("comp", F.coalesce("low", "comp")).alias("next"))
         up = now.select(F.col("id").alias("next"), F.col("comp").alias("jump"))
-        new = scratch.write(own.join(up, "next").select("id", F.least("next", "jump").alias("comp"), (F.least("next", "jump") < F.col("comp")).alias("fell")))
-        scratch.drop(now)
-        if new.where("fell").isEmpty():
-            return new.select("id", "comp")
-        now = new.select("id", "comp")
-        now._gridloom_at = new._gridloom_at
+        fell = Observation()
+        new = own.join(up, "next").select("id", F.least("next", "jump").alias("low"), "comp").observe(fell, F.count(F.when(F.col("low") < F.col("comp"), 1)).alias("n"))
+        old, now = now, scratch.write(new.select("id", F.col("low").alias("comp")))
+        scratch.drop(old)
+        if not fell.get["n"]:
+            return now
 
 
 def breadth_first(edges: DataFrame, roots: DataFrame, keys: list[str], scratch: Scratch) -> DataFrame:
     """(id, comp, level, ord) of all that ``roots`` (id, comp, ord) reach over ``edges`` (u, v, keys) in both directions.
 
-    ord is the place within the level, over all components: vertices stand by the place of the first vertex that
+    ord grows with the place within the level, over all components: vertices stand by the place of the first vertex that
     reached them, then by ``keys``, then by id, as in a queue.
     """
     at = scratch.write(roots.select("id", "comp", F.lit(0).alias("level"), F.col("ord").cast("bigint").alias("ord")))
@@ -44,10 +44,10 @@ def breadth_first(edges: DataFrame, roots: DataFrame, keys: list[str], scratch:
         seen = at.select("id") if before is None else at.select("id").union(before.select("id"))
         step = edges.join(at.select(F.col("id").alias("u"), "comp", "ord"), "u").groupBy("v").agg(F.min(F.struct("ord", *keys, "comp")).alias("s"))
         step = step.withColumnRenamed("v", "id").join(seen, "id", "left_anti").select("id", "s.*").withColumnRenamed("ord", "parent")
-        new = rank_all(step, ["parent", *keys, "id"], "ord", scratch).select("id", "comp", F.lit(len(levels)).alias("level"), "ord")
-        new = scratch.write(new)
-        if new.isEmpty():
+        new, count = in_order(step.withColumn("level", F.lit(len(levels))), ["parent", *keys, "id"], "ord", scratch)
+        if not count:
             return reduce(DataFrame.union, levels)
+        new = new.select("id", "comp", "level", "ord")
         levels.append(new)
         before, at = at, new
 
@@ -61,8 +61,6 @@ def running_offset(sizes: DataFrame, order: list[Column | str], scratch: Scratch
 
     Places are ranked first; sums run within blocks of places and over the blocks' totals.
     """
-    from pyspark.sql import Window
-
     ranked = rank_all(sizes, order, "place", scratch).withColumn("block", F.floor(F.col("place") / 65536))
     totals = ranked.groupBy("block").agg(F.sum("size").alias("t"))
     base = F.coalesce(F.sum("t").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

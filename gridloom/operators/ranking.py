@@ -13,15 +13,21 @@ from pyspark.sql import functions as F
 from gridloom.runtime import Scratch, shuffle_width
 
 
-def rank_all(df: DataFrame, order: list[Column | str], name: str = "pos", scratch: Scratch | None = None) -> DataFrame:
-    """``df`` with the rank of each row from 0 in ``order``, which must be total for the ranks to be defined."""
-    scratch = scratch or Scratch(df.sparkSession, "rank")
-    cols = df.columns
+def in_order(df: DataFrame, order: list[Column | str], name: str, scratch: Scratch) -> tuple[DataFrame, int]:
+    """``df`` written with a BIGINT that grows in ``order`` but skips numbers, and its number of rows."""
     df = df.persist()  # a range partitioning reads its input twice, first for a sample
     placed = df.repartitionByRange(shuffle_width(df.sparkSession), *order).sortWithinPartitions(*order)
-    placed = scratch.write(placed.select(*cols, F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_at")))
+    out = scratch.write_counted(placed.select(*df.columns, F.monotonically_increasing_id().alias(name)))
     df.unpersist()
+    return out
+
+
+def rank_all(df: DataFrame, order: list[Column | str], name: str = "pos", scratch: Scratch | None = None) -> DataFrame:
+    """``df`` with the rank of each row from 0 in ``order``, which must be total for the ranks to be defined."""
+    scratch = scratch or Scratch(df.sparkSession, "rank")
+    placed, _ = in_order(df, order, "_at", scratch)
+    placed = placed.withColumn("_part", F.shiftright("_at", 33))  # the number holds the partition above 33 bits
     sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = sizes.select("_part", (before - F.col("_first")).alias("_shift"))
-    return placed.join(F.broadcast(offsets), "_part").select(*cols, (F.col("_at") + F.col("_shift")).cast("bigint").alias(name))
+    return placed.join(F.broadcast(offsets), "_part").select(*df.columns, (F.col("_at") + F.col("_shift")).cast("bigint").alias(name))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,8 +12,12 @@ from gridloom.errors import FunctionNotFoundError, ReorderError
 from gridloom.functions.columns import gray_rank, unsigned_order
 from gridloom.model import Sparse2D, degrees_of
 from gridloom.operators.graphs import breadth_first, components, running_offset
+from gridloom.operators.in_task import rcm_places, slashburn_places
 from gridloom.operators.ranking import rank_all
-from gridloom.runtime import Scratch
+from gridloom.runtime import Scratch, shuffle_width
+
+#: Up to so many stored edges, some 100 MB, a component or graph is ordered within one task.
+TASK_EDGES = 2_000_000
 
 
 def degree_order(m: Sparse2D, ascending: bool = True) -> DataFrame:
@@ -77,45 +82,62 @@ def gray_order(m: Sparse2D, resolution: int = 16, nnz_threshold: int = 10, group
     return rank_all(keyed, ["k0", "k1", "k2", "k3", "id"], scratch=scratch).select("id", "pos")
 
 
-def rcm_order(m: Sparse2D) -> DataFrame:
-    """Reverse Cuthill-McKee. All components advance together, a level at a time.
+def _rcm_small(edges: DataFrame, comps: DataFrame) -> DataFrame:
+    """(id, comp, place) of components that fit a task; many of them share one."""
+    owned = edges.join(comps.withColumnRenamed("id", "u"), "u").withColumn("bucket", F.pmod(F.xxhash64("comp"), F.lit(4 * shuffle_width(edges.sparkSession))))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids, comp, place = rcm_places(pdf["u"].to_numpy(), pdf["v"].to_numpy(), pdf["comp"].to_numpy())
+        return pd.DataFrame({"id": ids, "comp": comp, "place": place})
+
+    return owned.groupBy("bucket").applyInPandas(run, "id bigint, comp bigint, place bigint")
+
+
+def _rcm_large(edges: DataFrame, sizes: DataFrame, scratch: Scratch) -> DataFrame:
+    """(id, comp, place) of the components in ``sizes``, all a level at a time."""
+    deg = scratch.write(edges.groupBy(F.col("u").alias("id")).agg(F.count("*").alias("degree")))
+    searching, left = scratch.write_counted(sizes.select("comp", "size", F.col("comp").alias("root"), F.lit(0).alias("most")))
+    settled = searching.where("false").select("comp", "root")
+    while left:
+        reached = breadth_first(edges, searching.select(F.col("root").alias("id"), "comp", F.col("root").alias("ord")), [], scratch).join(deg, "id")
+        far = reached.groupBy("comp").agg(F.max(F.struct("level", -F.col("degree"), -F.col("ord"), "id")).alias("s"))
+        step = searching.join(far.select("comp", F.col("s.level").alias("level"), F.col("s.id").alias("end")), "comp")
+        step = scratch.write(step.withColumn("grew", F.col("level") > F.col("most")).withColumn("most", F.greatest("most", "level")))
+        on = F.col("grew") & (F.col("size") != F.col("most") + 1)
+        settled = settled.union(step.where(~on).select("comp", "root"))
+        searching, left = scratch.write_counted(step.where(on).select("comp", "size", F.col("end").alias("root"), "most"))
+    keyed = edges.join(deg.select(F.col("id").alias("v"), F.col("degree").alias("dv")), "v").select("u", "v", "dv")
+    queue = breadth_first(keyed, settled.select(F.col("root").alias("id"), "comp", F.col("root").alias("ord")), ["dv"], scratch)
+    placed = rank_all(queue, ["comp", "level", "ord"], "at", scratch)
+    starts = running_offset(sizes, ["comp"], scratch).select("comp", "size", F.col("offset").alias("start"))
+    return placed.join(starts, "comp").select("id", "comp", (F.col("size") - 1 - (F.col("at") - F.col("start"))).alias("place"))
+
+
+def rcm_order(m: Sparse2D, task_edges: int = TASK_EDGES) -> DataFrame:
+    """Reverse Cuthill-McKee.
 
     The pattern is symmetrised. Each component starts from a vertex at its far end: from its smallest id, the search
     goes on from the vertex of least degree in the last level (the first such in the queue) while the number of levels
     grows, or until the component is a path. From there vertices are queued by (place of the vertex that reached them,
     degree, id); a component's queue is reversed. Components stand by their smallest id, isolated vertices with them.
+
+    Components of up to ``task_edges`` stored edges are ordered within tasks, larger ones together by distributed steps, a
+    level at a time. Both give the same order.
     """
-    scratch = Scratch(m.spark, "rcm")
+    scratch, n = Scratch(m.spark, "rcm"), max(m.n_rows, m.n_cols)
     edges = scratch.write(m.symmetrised())
-    vertices = m.spark.range(max(m.n_rows, m.n_cols))
-    comps = scratch.write(components(vertices, edges, scratch))
-    deg = degrees_of(Sparse2D(edges.select(F.col("u").alias("i"), F.col("v").alias("j")), max(m.n_rows, m.n_cols), 0)).select(F.col("i").alias("id"), "degree")
-    deg = scratch.write(deg)
-    sizes = comps.groupBy("comp").agg(F.count("*").alias("size"))
-    searching = scratch.write(sizes.where("size > 1").select("comp", "size", F.col("comp").alias("root"), F.lit(0).alias("most")))
-    settled = []
-    while not searching.isEmpty():
-        reached = breadth_first(edges, searching.select(F.col("root").alias("id"), "comp", F.col("root").alias("ord")), [], scratch)
-        reached = scratch.write(reached.join(deg, "id"))
-        far = reached.groupBy("comp").agg(F.max(F.struct("level", -F.col("degree"), -F.col("ord"), "id")).alias("s"))
-        step = searching.join(far.select("comp", F.col("s.level").alias("level"), F.col("s.id").alias("end")), "comp")
-        step = scratch.write(step.withColumn("grew", F.col("level") > F.col("most")).withColumn("most", F.greatest("most", "level")))
-        on = F.col("grew") & (F.col("size") != F.col("most") + 1)
-        settled.append(step.where(~on).select("comp", "root"))
-        searching = scratch.write(step.where(on).select("comp", "size", F.col("end").alias("root"), "most"))
-    offsets = running_offset(sizes, ["comp"], scratch).select("comp", "size", "offset")
+    comps = components(m.spark.range(n), edges, scratch)
+    own = edges.groupBy(F.col("u").alias("id")).agg(F.count("*").alias("d"))
+    sizes = comps.join(own, "id", "left").groupBy("comp").agg(F.count("*").alias("size"), F.coalesce(F.sum("d"), F.lit(0)).alias("edges"))
+    sizes = scratch.write(sizes)
+    offsets = running_offset(sizes, ["comp"], scratch).select("comp", "size", "edges", "offset")
     alone = comps.join(offsets.where("size = 1"), "comp").select("id", F.col("offset").cast("bigint").alias("pos"))
-    if not settled:
-        return alone
-    roots = settled[0]
-    for s in settled[1:]:
-        roots = roots.union(s)
-    keyed = edges.join(deg.select(F.col("id").alias("v"), F.col("degree").alias("dv")), "v").select("u", "v", "dv")
-    queue = breadth_first(keyed, roots.select(F.col("root").alias("id"), "comp", F.col("root").alias("ord")), ["dv"], scratch)
-    placed = rank_all(queue, ["comp", "level", "ord"], "at", scratch)
-    within = placed.join(running_offset(sizes.where("size > 1"), ["comp"], scratch).select("comp", F.col("offset").alias("start")), "comp")
-    turned = within.join(offsets, "comp").select("id", (F.col("offset") + F.col("size") - 1 - (F.col("at") - F.col("start"))).cast("bigint").alias("pos"))
-    return turned.union(alone)
+    small = comps.join(sizes.where((F.col("size") > 1) & (F.col("edges") <= task_edges)).select("comp"), "comp", "left_semi")
+    places = _rcm_small(edges, small.select("id", "comp"))
+    large, count = scratch.write_counted(sizes.where((F.col("size") > 1) & (F.col("edges") > task_edges)).select("comp", "size"))
+    if count:
+        places = places.union(_rcm_large(edges, large, scratch))
+    return places.join(offsets, "comp").select("id", (F.col("offset") + F.col("place")).cast("bigint").alias("pos")).union(alone)
 
 
 def _adjacency_keys(m: Sparse2D) -> DataFrame:
@@ -141,7 +163,15 @@ def _hubs(edges: DataFrame, active: DataFrame, k: int, greedy: bool, scratch: Sc
     return deg.sparkSession.createDataFrame([(v, h) for h, v in enumerate(taken)], "id bigint, hub bigint")
 
 
-def slashburn_order(m: Sparse2D, k_size: int = 1, greedy: bool = False, hub_order: bool = False) -> DataFrame:
+def _slashburn_small(edges: DataFrame, n: int, k: int, greedy: bool, hub_order: bool) -> DataFrame:
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pos = slashburn_places(*(pdf[c].to_numpy() for c in ("u", "v", "side", "turn")), n, k, greedy, hub_order)
+        return pd.DataFrame({"id": range(n), "pos": pos})
+
+    return edges.groupBy(F.lit(0).alias("whole")).applyInPandas(run, "id bigint, pos bigint")
+
+
+def slashburn_order(m: Sparse2D, k_size: int = 1, greedy: bool = False, hub_order: bool = False, task_edges: int = TASK_EDGES) -> DataFrame:
     """Hubs to the front, what falls off to the back, round by round.
 
     The pattern is symmetrised. All components but the largest (the one of larger smallest id, if equal) go to the back,
@@ -150,13 +180,18 @@ def slashburn_order(m: Sparse2D, k_size: int = 1, greedy: bool = False, hub_orde
     others go to the back by (size, root), or by (hub, size, root) with ``hub_order``: a component belongs to the last
     hub next to it, and its root is that hub's first neighbour in it. It ends when the largest has fewer than k_size
     vertices or none is left.
+
+    A graph of up to ``task_edges`` vertices and stored edges is ordered within one task, a larger one by distributed steps.
+    Both give the same order.
     """
     n = max(m.n_rows, m.n_cols)
     if k_size < 1:
         raise ReorderError("k_size must be positive")
     scratch = Scratch(m.spark, "slashburn")
-    edges = scratch.write(_adjacency_keys(m))
+    edges, count = scratch.write_counted(_adjacency_keys(m))
     vertices = m.spark.range(n)
+    if 0 < count <= task_edges and n <= task_edges:
+        return _slashburn_small(edges, n, k_size, greedy, hub_order)
     comps = components(vertices, edges, scratch)
     sizes = comps.groupBy("comp").agg(F.count("*").alias("size"), F.min("id").alias("root")).withColumn("hub", F.lit(0).cast("bigint"))
     placed, front, back = [], 0, 0

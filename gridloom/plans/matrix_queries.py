@@ -352,18 +352,14 @@ def patoh_round_trip(spark, d):
 
 @query(_PS + "SELECT i, j, v FROM m")
 def sbff_csr_round_trip(spark, d):
-    s = Scratch(spark, "files")
-    s.write(spark.range(1))
-    at = s.path + "/m.csr"
+    at = Scratch(spark, "files").folder() + "/m.csr"
     sbff.write_sbff_matrix(part_supplier(spark, d), at, "csr")
     return sbff.read_sbff_matrix(spark, at).nz
 
 
 @query(_PS + "SELECT i, j, v FROM m")
 def sbff_coo_round_trip(spark, d):
-    s = Scratch(spark, "files")
-    s.write(spark.range(1))
-    at = s.path + "/m.coo"
+    at = Scratch(spark, "files").folder() + "/m.coo"
     sbff.write_sbff_matrix(part_supplier(spark, d), at, "coo")
     return sbff.read_sbff_matrix(spark, at).nz
 

@@ -13,7 +13,8 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _open: list["Scratch"] = []
 
@@ -44,12 +45,23 @@ class Scratch:
 
     def write(self, df: DataFrame, compression: str = "zstd") -> DataFrame:
         """Write ``df`` and return it as read back."""
+        return self.write_counted(df, compression)[0]
+
+    def write_counted(self, df: DataFrame, compression: str = "zstd") -> tuple[DataFrame, int]:
+        """``write``, with the number of rows, which the write itself counts."""
         at = f"{self.path}/{self._n}"
         self._n += 1
-        df.write.option("compression", compression).parquet(at)
+        seen = Observation()
+        df.observe(seen, F.count(F.lit(1)).alias("n")).write.option("compression", compression).parquet(at)
         out = self.spark.read.schema(df.schema).parquet(at)
         out._gridloom_at = at
-        return out
+        return out, seen.get["n"]
+
+    def folder(self) -> str:
+        """The scratch folder, made if need be, for files of other kinds."""
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).mkdirs(p)
+        return self.path
 
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables of ``write`` that nothing will read again."""

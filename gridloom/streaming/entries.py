@@ -24,7 +24,7 @@ def windowed_degrees(entries: DataFrame, time: str = "loaded_at", late: str = "7
     An entry delivered again within ``late`` of its first time counts once; later than that it is dropped by the
     watermark, as is any entry that comes after its window closed. Entries with a null row or time have no degree.
     """
-    once = entries.where(F.col("i").isNotNull() & F.col(time).isNotNull()).select("entry_id", "file_id", "i", F.col(time).alias("t"))
+    once = entries.where(F.col("i").isNotNull() & F.col(time).isNotNull()).select("entry_id", "file_id", "i", F.col(time).cast("timestamp").alias("t"))
     once = once.withWatermark("t", late).dropDuplicatesWithinWatermark(["entry_id"])
     counts = once.groupBy("file_id", "i", F.window("t", window)).agg(F.count("*").alias("degree"))
     return counts.select("file_id", "i", F.col("window.start").alias("window_start"), "degree")

@@ -28,12 +28,18 @@ def test_known_orders(spark):
     assert features.scalars(moved, ["bandwidth"]).first()[0] == 3
 
 
-@pytest.mark.parametrize("seed, n, m", [(1, 12, 10), (2, 14, 22), (3, 20, 12), (4, 15, 60)])
-def test_rcm_against_a_queue(spark, seed, n, m):
+@pytest.mark.parametrize("seed, n, m", [(1, 12, 10), (2, 40, 50), (3, 60, 40), (4, 30, 200)])
+def test_rcm_in_tasks_against_a_queue(spark, seed, n, m):
     e = random_graph(seed, n, m)
     assert as_list(reorder.rcm_order(build(spark, e, n))) == plain_rcm(e, n)
 
 
+@pytest.mark.parametrize("most", [0, 12])
+def test_rcm_by_levels_against_a_queue(spark, most):
+    e = random_graph(2, 30, 26)
+    assert as_list(reorder.rcm_order(build(spark, e, 30), task_edges=most)) == plain_rcm(e, 30)
+
+
 def test_rcm_of_a_path_and_of_nothing(spark):
     path = [(k, k + 1) for k in range(5)]
     e = path + [(j, i) for i, j in path]
@@ -41,14 +47,32 @@ def test_rcm_of_a_path_and_of_nothing(spark):
     assert as_list(reorder.rcm_order(build(spark, [(0, 0)], 4))) == [0, 1, 2, 3]
 
 
-@pytest.mark.parametrize("seed, n, m, k, greedy, hub", [(1, 16, 20, 2, False, False), (2, 18, 24, 3, False, True), (3, 14, 18, 2, True, False), (5, 15, 12, 1, False, False)])
-def test_slashburn_against_a_plain_one(spark, seed, n, m, k, greedy, hub):
+@pytest.mark.parametrize("task", [0, reorder.TASK_EDGES])
+@pytest.mark.parametrize("seed, n, m, k, greedy, hub", [(1, 16, 20, 2, False, False), (2, 18, 24, 3, True, True)])
+def test_slashburn_against_a_plain_one(spark, seed, n, m, k, greedy, hub, task):
     e = random_graph(seed, n, m, symmetric=seed % 2 == 0)
-    got = as_list(reorder.slashburn_order(build(spark, e, n), k, greedy, hub))
+    got = as_list(reorder.slashburn_order(build(spark, e, n), k, greedy, hub, task_edges=task))
     assert sorted(got) == list(range(n))
     assert got == plain_slashburn(e, n, k, greedy, hub)
 
 
+@pytest.mark.parametrize("seed", range(12))
+def test_slashburn_in_a_task(seed):
+    import numpy as np
+
+    from gridloom.operators.in_task import slashburn_places
+
+    rng = random.Random(seed)
+    n, k = rng.randint(2, 40), rng.randint(1, 5)
+    e = random_graph(seed, n, rng.randint(0, 70), symmetric=False)
+    own, into = set(e), {(j, i) for i, j in e}
+    rows = [(u, v, 0, v) for u, v in own] + [(u, v, 1, -v) for u, v in into - own]
+    cols = np.array(sorted(rows), np.int64).reshape(-1, 4).T
+    for greedy in (False, True):
+        for hub in (False, True):
+            assert slashburn_places(*cols, n, k, greedy, hub).tolist() == plain_slashburn(e, n, k, greedy, hub)
+
+
 def plain_gray(rows, n, m, res, threshold, group):
     res0 = res
     res = min(res, m)
@@ -109,9 +133,9 @@ def test_registry(spark):
 def test_heuristic_orders_and_partitions(spark):
     e = random_graph(7, 60, 150)
     m = build(spark, e, 60)
-    for order in (partition.minimum_degree_order(m), partition.dissection_order(m, 2), partition.community_order(m)):
+    for order in (partition.minimum_degree_order(m, 3), partition.dissection_order(m, 2), partition.community_order(m, 2)):
         assert is_order(order, 60)
-    for parts in (partition.label_partition(m, 4), partition.multilevel_partition(m, 4), partition.multilevel_partition(m, 4, "rb")):
+    for parts in (partition.label_partition(m, 4), partition.multilevel_partition(m, 4), partition.multilevel_partition(m, 4, "rb", rounds=2)):
         rows = parts.collect()
         assert sorted(r["id"] for r in rows) == list(range(60)) and {r["part"] for r in rows} <= set(range(4))
         assert partition.partition_quality(m, parts).first()["largest"] <= 17
