@@ -45,6 +45,12 @@ def p6_ids(spark, d):
     return tokens.encode_corpus(table(spark, d, "documents"), tokens.tokenizer_path(VOCABULARY))
 
 
+def p6_decoded(spark, d):
+    """Every document as text again, from its token ids."""
+    path = tokens.tokenizer_path(VOCABULARY)
+    return tokens.decode_corpus(p6_ids(spark, d), tokens.piece_table(spark, path))
+
+
 def p7_mixture(spark, d):
     """The uses of every text in the mixture."""
     return mixture.mix_sources(table(spark, d, "documents"), table(spark, d, "mix_targets"), tokens.tokenizer_path(VOCABULARY))[0]
@@ -66,7 +72,7 @@ def p8_share(spark, d):
     return spans.shared_share(docs, spans.shared_spans(docs, 200))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_groups, p4_found, p4_pairs, p5_found, p5_links, p6_ids, p7_mixture, p7_shares, p8_found, p8_share)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_groups, p4_found, p4_pairs, p5_found, p5_links, p6_ids, p6_decoded, p7_mixture, p7_shares, p8_found, p8_share)}
 
 _GROUPS = """
 WITH RECURSIVE half AS (SELECT DISTINCT least(i, j) AS a, greatest(i, j) AS b FROM pair_matches WHERE i IS NOT NULL AND j IS NOT NULL AND i <> j),
@@ -91,6 +97,7 @@ p AS (SELECT row_a, row_b FROM o JOIN k x ON x.i = row_a JOIN k y ON y.i = row_b
 """
 
 SQL = {
+    "p6_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
     "p2_found": _GROUPS + "SELECT id, group_id FROM g",
     "p2_groups": _GROUPS + """, r AS (SELECT id FROM vertices UNION SELECT i FROM pair_matches UNION SELECT j FROM pair_matches)
 SELECT r.id, coalesce(g.group_id, r.id) AS group_id FROM r LEFT JOIN g ON g.id = r.id WHERE r.id IS NOT NULL""",

@@ -25,6 +25,9 @@ from gridloom.runtime import Scratch
 #: Fixed value: the pattern that splits a text into words before the merges.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+#: Up to so many rows, some tens of MB, a table of pieces is broadcast.
+BROADCAST_PIECES = 500_000
+
 _BLOCKS = "block bigint, doc_ids array<bigint>, lens array<int>, codes binary, words array<string>"
 
 
@@ -163,8 +166,11 @@ def decode_corpus(encoded: DataFrame, pieces: DataFrame) -> DataFrame:
     """(doc_id, text) of (doc_id, ids), through a join of ids to ``piece_table``; an empty list gives an empty text.
 
     Null lists give an empty text, ids that ``pieces`` lacks and null ids add nothing. doc_id must be unique: rows of
-    one doc_id would be mixed. Bytes that are no UTF-8 become U+FFFD.
+    one doc_id would be mixed. Bytes that are no UTF-8 become U+FFFD. ``pieces`` is broadcast up to BROADCAST_PIECES rows,
+    beyond that it is joined by a shuffle.
     """
+    if pieces.count() <= BROADCAST_PIECES:
+        pieces = F.broadcast(pieces)
     at = encoded.select("doc_id", F.posexplode_outer("ids").alias("pos", "id")).join(pieces, "id", "left")
     whole = at.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", F.hex("piece").alias("h")))).alias("s"))
     return whole.select("doc_id", F.decode(F.unhex(F.array_join(F.col("s.h"), "")), F.lit("UTF-8")).alias("text"))
