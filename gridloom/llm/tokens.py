@@ -173,4 +173,4 @@ def decode_corpus(encoded: DataFrame, pieces: DataFrame) -> DataFrame:
         pieces = F.broadcast(pieces)
     at = encoded.select("doc_id", F.posexplode_outer("ids").alias("pos", "id")).join(pieces, "id", "left")
     whole = at.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", F.hex("piece").alias("h")))).alias("s"))
-    return whole.select("doc_id", F.decode(F.unhex(F.array_join(F.col("s.h"), "")), F.lit("UTF-8")).alias("text"))
+    return whole.select("doc_id", F.make_valid_utf8(F.unhex(F.array_join(F.col("s.h"), "")).cast("string")).alias("text"))
