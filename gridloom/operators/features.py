@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from gridloom.errors import FeatureError, FeatureParamsError
 from gridloom.functions.columns import block_of
 from gridloom.model import Sparse2D, degrees_of
+from gridloom.runtime import Scratch
 
 
 def degrees(m: Sparse2D) -> DataFrame:
@@ -117,8 +118,13 @@ def scalars(m: Sparse2D, names: Iterable[str], params: dict[str, dict] | None =
     return out.select(*names)
 
 
-def _adjacency(und: DataFrame) -> DataFrame:
-    return und.groupBy("u").agg(F.array_sort(F.collect_list("v")).alias("adj"))
+def _narrow(c: str, n: int) -> Column:
+    """Ids in lists take four bytes where they fit."""
+    return F.col(c).cast("int") if n < 2**31 else F.col(c)
+
+
+def _adjacency(up: DataFrame, n: int) -> DataFrame:
+    return up.groupBy("u").agg(F.collect_list(_narrow("v", n)).alias("adj"))
 
 
 def triangle_count(m: Sparse2D, directed: bool = False) -> DataFrame:
@@ -136,18 +142,20 @@ def triangle_count(m: Sparse2D, directed: bool = False) -> DataFrame:
         two = first.join(second, "b").where("a < c")
         return two.join(third, ["a", "c"], "left_semi").agg(F.count("*").alias("triangles"))
     up = _oriented(m)
-    lists = _adjacency(up)
+    lists = _adjacency(up, max(m.dimensions))
     ends = up.join(lists.withColumnRenamed("adj", "adj_u"), "u").join(lists.select(F.col("u").alias("v"), F.col("adj").alias("adj_v")), "v")
     return ends.agg(F.coalesce(F.sum(F.size(F.array_intersect("adj_u", "adj_v"))), F.lit(0)).cast("bigint").alias("triangles"))
 
 
 def _oriented(m: Sparse2D) -> DataFrame:
     """(u, v): each undirected edge once, from its end of lower (degree, id)."""
-    und = m.symmetrised()
-    deg = und.groupBy("u").agg(F.count("*").alias("d"))
-    half = und.where("u < v").join(deg.withColumnRenamed("d", "du"), "u").join(deg.select(F.col("u").alias("v"), F.col("d").alias("dv")), "v")
+    scratch = Scratch(m.spark, "edges")
+    half = scratch.write(m.nz.where("i <> j").select(F.least("i", "j").alias("u"), F.greatest("i", "j").alias("v")).distinct())
+    deg = half.select(F.explode(F.array("u", "v")).alias("x")).groupBy("x").agg(F.count("*").alias("d"))
+    both = half.join(deg.select(F.col("x").alias("u"), F.col("d").alias("du")), "u").join(deg.select(F.col("x").alias("v"), F.col("d").alias("dv")), "v")
     swap = F.col("du") > F.col("dv")
-    return half.select(F.when(swap, F.col("v")).otherwise(F.col("u")).alias("u"), F.when(swap, F.col("u")).otherwise(F.col("v")).alias("v"))
+    turned = both.select(F.when(swap, F.col("v")).otherwise(F.col("u")).alias("u"), F.when(swap, F.col("u")).otherwise(F.col("v")).alias("v"))
+    return scratch.write(turned)
 
 
 def jaccard_weights(m: Sparse2D) -> DataFrame:
@@ -156,18 +164,36 @@ def jaccard_weights(m: Sparse2D) -> DataFrame:
     Each unordered pair is computed once and given to the stored edges of either direction; degree(i) + degree(j)
     counts stored non-zeros, as in the rows. Adjacency lists must fit one row of the table.
     """
-    rows = m.nz.groupBy("i").agg(F.collect_list("j").alias("adj"))
-    half = m.nz.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).distinct()
+    nz = Scratch(m.spark, "edges").write(m.nz.select("i", "j"))  # read three times
+    rows = nz.groupBy("i").agg(F.collect_list(_narrow("j", m.n_cols)).alias("adj"))
+    half = nz.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).distinct()
     side = lambda s: rows.select(F.col("i").alias(s), F.col("adj").alias(f"adj_{s}"))
     ends = half.join(side("a"), "a", "left").join(side("b"), "b", "left")
     c = F.coalesce(F.size(F.array_intersect("adj_a", "adj_b")), F.lit(0))
     c = F.when(F.col("adj_a").isNull() | F.col("adj_b").isNull(), 0).otherwise(c)
     d = lambda s: F.when(F.col(f"adj_{s}").isNull(), 0).otherwise(F.size(f"adj_{s}"))
     w = ends.select("a", "b", F.when(c > 0, c / (d("a") + d("b") - c)).otherwise(0.0).alias("weight"))
-    keyed = m.nz.select("i", "j", F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"))
+    keyed = nz.select("i", "j", F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"))
     return keyed.join(w, ["a", "b"]).select("i", "j", "weight")
 
 
+#: Users' own features: name to a function of the matrix and the feature's parameters that gives a table.
+CUSTOM: dict[str, Callable[..., DataFrame]] = {}
+
+
+def register(name: str, feature: Callable[..., DataFrame], **defaults) -> None:
+    """Make ``feature`` (matrix, parameters) to a table available to extractors, with the parameters it has and their defaults."""
+    if name in (*SCALARS, *TABLES, "triangle_count", "jaccard_weights"):
+        raise FeatureError(f"{name} is taken")
+    CUSTOM[name], PARAMS[name] = feature, defaults
+
+
+def unregister(name: str) -> None:
+    if CUSTOM.pop(name, None) is None:
+        raise FeatureError(f"{name} is no feature of a user")
+    PARAMS.pop(name, None)
+
+
 class Extractor:
     """A set of features that run together; scalars share their aggregations."""
 
@@ -178,7 +204,7 @@ class Extractor:
             self.add(n, **params.get(n, {}))
 
     def add(self, name: str, **params) -> Extractor:
-        if name not in (*SCALARS, *TABLES, "triangle_count", "jaccard_weights"):
+        if name not in (*SCALARS, *TABLES, *CUSTOM, "triangle_count", "jaccard_weights"):
             raise FeatureError(f"{name} is no feature")
         for p in params:
             if p not in PARAMS.get(name, {}):
@@ -211,7 +237,7 @@ class Extractor:
             out["triangle_count"] = triangle_count(m, **self._params["triangle_count"])
         if "jaccard_weights" in self._names:
             out["jaccard_weights"] = jaccard_weights(m)
-        return out
+        return out | {n: CUSTOM[n](m, **self.params(n)) for n in self._names if n in CUSTOM}
 
 
 def all_features() -> Extractor:

@@ -73,15 +73,18 @@ class Scratch:
         _delete(self.spark, self.path)
 
 
-@atexit.register
-def _close_all() -> None:
-    for s in _open:
+def drop_scratch() -> None:
+    """Delete the intermediate tables of all operators that ran so far; DataFrames that read them are then dead."""
+    while _open:
         try:
-            s.close()
+            _open.pop().close()
         except Exception:  # the JVM may be gone
             pass
 
 
+atexit.register(drop_scratch)
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

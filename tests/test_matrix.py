@@ -77,6 +77,18 @@ def test_extractor(spark):
         x.add("bandwidth", blocks=2)
 
 
+def test_custom_features(spark):
+    features.register("big", lambda m, least: m.nz.where(f"v >= {least}"), least=3)
+    a = build(spark, A, 3)
+    assert features.Extractor("big").extract(a)["big"].count() == 2
+    assert features.Extractor("big", big={"least": 4}).extract(a)["big"].count() == 1
+    with pytest.raises(FeatureError):
+        features.register("bandwidth", lambda m: m.nz)
+    features.unregister("big")
+    with pytest.raises(FeatureError):
+        features.Extractor("big")
+
+
 def test_layouts(spark):
     a = build(spark, A, 3)
     csr, csc = convert.coo_to_csr(a), convert.coo_to_csc(a)
