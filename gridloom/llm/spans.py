@@ -118,16 +118,22 @@ def _contexts(documents: DataFrame, met: DataFrame, k: int, reach: int) -> DataF
     at = met.groupBy("doc_id").agg(F.collect_set(F.struct("pos", "hash")).alias("at"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(rows: list[tuple]) -> pa.RecordBatch:
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string())
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["hash", "doc_id", "pos", "left", "ctx"])
+
+        rows: list[tuple] = []
         for b in batches:
-            rows = []
             for doc, text, ats in zip(b["doc_id"].to_pylist(), b["text"].to_pylist(), b["at"].to_pylist(), strict=True):
                 for x in ats:
                     p = x["pos"]
                     left = min(reach, p)
                     rows.append((x["hash"], doc, p, left, text[p - left : p + k + reach]))
-            if rows:
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["hash", "doc_id", "pos", "left", "ctx"])
+                    if len(rows) >= 20_000:
+                        yield out(rows)
+                        rows = []
+        if rows:
+            yield out(rows)
 
     return documents.join(at, "doc_id").select("doc_id", "text", "at").mapInArrow(run, "hash bigint, doc_id bigint, pos int, left int, ctx string")
 
