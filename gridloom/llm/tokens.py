@@ -25,10 +25,7 @@ from gridloom.runtime import Scratch
 #: Fixed value: the pattern that splits a text into words before the merges.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-#: Up to so many rows, some tens of MB, a table of pieces is broadcast.
-BROADCAST_PIECES = 500_000
-
-_BLOCKS = "block bigint, doc_ids array<bigint>, lens array<int>, codes binary, words array<string>"
+_BLOCKS = "block bigint, doc_ids array<bigint>, lens array<int>, codes binary, words array<{}>"
 
 
 def tokenizer_path(name: str, folder: str | None = None) -> str:
@@ -53,15 +50,20 @@ def _encoding(path: str):
     return tiktoken.Encoding(os.path.basename(path), pat_str=WORDS, mergeable_ranks=_ranks(path), special_tokens={})
 
 
-def _split(documents: DataFrame, block_words: int) -> DataFrame:
-    """Blocks of documents: their words' positions in the block's list of distinct words."""
+def _split(documents: DataFrame) -> DataFrame:
+    """(doc_id, w): the words of every text."""
     pattern = "(?U)" + WORDS
-    words = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.expr(f"regexp_extract_all(coalesce(text, ''), r\"{pattern}\", 0)").alias("w"))
+    return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.expr(f"regexp_extract_all(coalesce(text, ''), r\"{pattern}\", 0)").alias("w"))
+
+
+def _blocks(lists: DataFrame, kind: str, block_words: int) -> DataFrame:
+    """Blocks of rows (doc_id, w): the positions of their elements in the block's own list of distinct ones."""
+    of = {"string": pa.string(), "int": pa.int32()}[kind]
 
     def block(held: list[pa.RecordBatch], number: int) -> pa.RecordBatch:
         t = pa.Table.from_batches(held)
         lens = pc.fill_null(pc.list_value_length(t["w"]), 0).cast(pa.int32()).combine_chunks()
-        flat = pa.chunked_array([c.flatten() for c in t["w"].chunks], pa.string()).combine_chunks()
+        flat = pa.chunked_array([c.flatten() for c in t["w"].chunks], of).combine_chunks()
         coded = pc.dictionary_encode(flat)
         codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int32)
         one = lambda a, kind: pa.array([a], pa.list_(kind))
@@ -85,7 +87,7 @@ def _split(documents: DataFrame, block_words: int) -> DataFrame:
         if held:
             yield block(held, number)
 
-    return words.mapInArrow(run, _BLOCKS)
+    return lists.mapInArrow(run, _BLOCKS.format(kind))
 
 
 def _encode_words(words: DataFrame, path: str) -> DataFrame:
@@ -128,7 +130,7 @@ def _by_words(documents: DataFrame, path: str, block_words: int, counts: bool) -
     if not path.endswith(".tiktoken"):
         raise ValueError(f"{path} is no file of byte-level ranks")
     scratch = Scratch(documents.sparkSession, "tokens")
-    blocks = scratch.write(_split(documents, block_words))
+    blocks = scratch.write(_blocks(_split(documents), "string", block_words))
     words = blocks.select("block", F.posexplode("words").alias("code", "word"))
     table = _encode_words(words.select("word").distinct(), path)
     if counts:
@@ -162,15 +164,28 @@ def piece_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(pa.table({"id": pa.array([r for r, _ in ranks], pa.int32()), "piece": pa.array([bytearray(p) for _, p in ranks], pa.binary())}))
 
 
-def decode_corpus(encoded: DataFrame, pieces: DataFrame) -> DataFrame:
-    """(doc_id, text) of (doc_id, ids), through a join of ids to ``piece_table``; an empty list gives an empty text.
+def _lay_bytes(pieces: pa.Table, blocks: pa.Table) -> pa.Table:
+    if not blocks.num_rows:
+        return pa.table({"doc_id": pa.array([], pa.int64()), "bytes": pa.array([], pa.binary())})
+    doc_ids, lens = blocks["doc_ids"].combine_chunks().flatten(), blocks["lens"].combine_chunks().flatten().to_numpy()
+    codes = np.frombuffer(blocks["codes"][0].as_py(), np.int32)
+    if not len(codes):
+        return pa.table({"doc_id": doc_ids, "bytes": pa.array([b""] * len(doc_ids), pa.binary())})
+    laid = _by_code(pieces, "piece").cast(pa.large_binary()).take(pa.array(codes))
+    ends = np.r_[0, np.cumsum(pc.binary_length(laid).to_numpy())][np.r_[0, np.cumsum(lens)]].astype(np.int64)
+    whole = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(doc_ids), [None, pa.py_buffer(ends), laid.buffers()[2]])
+    return pa.table({"doc_id": doc_ids, "bytes": whole.cast(pa.binary())})
+
+
+def decode_corpus(encoded: DataFrame, pieces: DataFrame, block_ids: int = 400_000) -> DataFrame:
+    """(doc_id, text) of every row of (doc_id, ids), through a join of ids to ``piece_table``.
 
-    Null lists give an empty text, ids that ``pieces`` lacks and null ids add nothing. doc_id must be unique: rows of
-    one doc_id would be mixed. Bytes that are no UTF-8 become U+FFFD. ``pieces`` is broadcast up to BROADCAST_PIECES rows,
-    beyond that it is joined by a shuffle.
+    Empty and null lists give an empty text, null ids and ids that ``pieces`` lacks add nothing, bytes that are no UTF-8
+    become U+FFFD. Each block of rows brings its distinct ids to the join and lays the pieces out by position.
     """
-    if pieces.count() <= BROADCAST_PIECES:
-        pieces = F.broadcast(pieces)
-    at = encoded.select("doc_id", F.posexplode_outer("ids").alias("pos", "id")).join(pieces, "id", "left")
-    whole = at.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", F.hex("piece").alias("h")))).alias("s"))
-    return whole.select("doc_id", F.make_valid_utf8(F.unhex(F.array_join(F.col("s.h"), "")).cast("string")).alias("text"))
+    lists = encoded.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.filter("ids", lambda x: x.isNotNull()), F.array().cast("array<int>")).alias("w"))
+    blocks = Scratch(encoded.sparkSession, "pieces").write(_blocks(lists, "int", block_ids))
+    used = blocks.select("block", F.posexplode("words").alias("code", "id"))
+    used = used.join(pieces.select("id", "piece"), "id", "left").select((F.col("block") + 0).alias("of"), "code", F.coalesce("piece", F.lit(b"")).alias("piece"))
+    laid = used.groupBy("of").cogroup(blocks.select("block", "doc_ids", "lens", "codes").groupBy("block")).applyInArrow(_lay_bytes, "doc_id bigint, bytes binary")
+    return laid.select("doc_id", F.make_valid_utf8(F.col("bytes").cast("string")).alias("text"))

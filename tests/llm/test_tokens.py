@@ -42,9 +42,9 @@ def test_counts_decode_and_repeats(spark, path):
     ids = tokens.encode_corpus(df, path)
     counts = {r["doc_id"]: r["n_tokens"] for r in tokens.count_tokens(df, path).collect()}
     assert counts == {r["doc_id"]: len(r["ids"]) for r in ids.collect()}
-    back = {r["doc_id"]: r["text"] for r in tokens.decode_corpus(ids, tokens.piece_table(spark, path)).collect()}
+    back = {r["doc_id"]: r["text"] for r in tokens.decode_corpus(ids, tokens.piece_table(spark, path), 3).collect()}
     assert back == {i: t or "" for i, t in docs}
-    half = spark.createDataFrame([(1, [36, 8582]), (2, None), (3, [None, 64])], "doc_id bigint, ids array<int>")
+    half = spark.createDataFrame([(1, [36, 8582]), (2, None), (3, [None, 64, 10**6])], "doc_id bigint, ids array<int>")
     back = {r["doc_id"]: r["text"] for r in tokens.decode_corpus(half, tokens.piece_table(spark, path)).collect()}
     assert back[2] == "" and back[3] == "a" and back[1].endswith("\ufffd")
     twice = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, "c")], SCHEMA)
