@@ -14,15 +14,17 @@ from gridloom.runtime import Scratch
 def components(vertices: DataFrame, edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """(id, comp) of every vertex: the smallest id of its component, for ``edges`` (u, v) in both directions.
 
-    Labels fall to the least label among the neighbours and then to the label of that label, so that the distance they
-    travel about doubles in each round.
+    Labels fall to the least label among the neighbours, the vertex that gave a label learns what its holders met, and
+    each label then falls to the label of that label, so that few rounds are needed however long the paths are.
     """
     scratch = scratch or Scratch(vertices.sparkSession, "components")
     first = edges.groupBy("u").agg(F.min("v").alias("low"))
     now = scratch.write(vertices.select("id").join(first.withColumnRenamed("u", "id"), "id", "left").select("id", F.least("id", F.coalesce("low", "id")).alias("comp")))
     while True:
         offered = edges.join(now.withColumnRenamed("id", "v"), "v").groupBy("u").agg(F.min("comp").alias("low"))
-        own = now.join(offered.withColumnRenamed("u", "id"), "id", "left").select("id", "comp", F.least("comp", F.coalesce("low", "comp")).alias("next"))
+        own = now.join(offered.withColumnRenamed("u", "id"), "id", "left").select("id", "comp", F.coalesce("low", "comp").alias("low"))
+        hooks = own.where("low < comp").groupBy(F.col("comp").alias("id")).agg(F.min("low").alias("hook"))
+        own = own.join(hooks, "id", "left").select("id", "comp", F.least("comp", "low", F.coalesce("hook", "comp")).alias("next"))
         up = now.select(F.col("id").alias("next"), F.col("comp").alias("jump"))
         fell = Observation()
         new = own.join(up, "next").select("id", F.least("next", "jump").alias("low"), "comp").observe(fell, F.count(F.when(F.col("low") < F.col("comp"), 1)).alias("n"))

@@ -14,6 +14,7 @@ def spark():
     s = (
         SparkSession.builder.master("local[4]")
         .config("spark.sql.shuffle.partitions", "2")
+        .config("spark.default.parallelism", "2")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")

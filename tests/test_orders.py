@@ -34,10 +34,9 @@ def test_rcm_in_tasks_against_a_queue(spark, seed, n, m):
     assert as_list(reorder.rcm_order(build(spark, e, n))) == plain_rcm(e, n)
 
 
-@pytest.mark.parametrize("most", [0, 12])
-def test_rcm_by_levels_against_a_queue(spark, most):
-    e = random_graph(2, 30, 26)
-    assert as_list(reorder.rcm_order(build(spark, e, 30), task_edges=most)) == plain_rcm(e, 30)
+def test_rcm_by_levels_against_a_queue(spark):
+    e = [*random_graph(6, 20, 15), (21, 22), (22, 21)]
+    assert as_list(reorder.rcm_order(build(spark, e, 24), task_edges=4)) == plain_rcm(e, 24)  # one component either way
 
 
 def test_rcm_of_a_path_and_of_nothing(spark):
