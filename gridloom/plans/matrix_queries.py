@@ -242,7 +242,7 @@ def rcm_reorder(spark, d):
 @query()
 def slashburn_reorder(spark, d):
     m = co_purchase(spark, d)
-    return reorder.reorder("slashburn", m, k_size=max(1, m.n_rows // 3), hub_order=True)
+    return reorder.reorder("slashburn", m, k_size=max(1, m.n_rows // 200), hub_order=True)
 
 
 @query(_CP + """, po AS (SELECT id, row_number() OVER (ORDER BY degree, id DESC) - 1 AS pos FROM dr),

@@ -55,6 +55,26 @@ def test_slashburn_against_a_plain_one(spark, seed, n, m, k, greedy, hub, task):
     assert got == plain_slashburn(e, n, k, greedy, hub)
 
 
+@pytest.mark.parametrize("greedy, hub", [(False, False), (True, True)])
+def test_slashburn_that_ends_in_a_task(spark, greedy, hub, monkeypatch):
+    e = random_graph(9, 30, 55, symmetric=False)
+    rests, rest = [], reorder._slashburn_rest
+    monkeypatch.setattr(reorder, "_slashburn_rest", lambda edges, front, *a: rests.append(front) or rest(edges, front, *a))
+    got = as_list(reorder.slashburn_order(build(spark, e, 30), 2, greedy, hub, task_edges=60))
+    assert rests and rests[0] > 0 and got == plain_slashburn(e, 30, 2, greedy, hub)
+
+
+def test_slashburn_query_takes_few_hubs_a_round(spark):
+    import __spark_entry__
+    from gridloom.sources.objects import co_purchase
+
+    folder = "/root/testdata/sf0.001"
+    m = co_purchase(spark, folder)
+    e = [tuple(r) for r in m.nz.select("i", "j").collect()]
+    got = as_list(__spark_entry__.queries()["slashburn_reorder"](spark, folder))
+    assert got == plain_slashburn(e, m.n_rows, max(1, m.n_rows // 200), hub_order=True)
+
+
 @pytest.mark.parametrize("seed", range(12))
 def test_slashburn_in_a_task(seed):
     import numpy as np
