@@ -124,3 +124,27 @@ def slashburn_places(u: np.ndarray, v: np.ndarray, side: np.ndarray, turn: np.nd
                     if giant is None or len(queue) > giant[1]:
                         giant = found[-1]
     return pos
+
+
+def minimum_degree_rounds(u: np.ndarray, v: np.ndarray, rounds: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(id, round, degree at that time) of the vertices of ``u``, by the edges in both directions.
+
+    A round takes all vertices whose (degree, id) is least among their neighbours; with ``rounds``, what is left then has that number.
+    """
+    ids, u = np.unique(u, return_inverse=True)
+    order = np.argsort(u, kind="stable")
+    n, u, v = len(ids), u[order], np.searchsorted(ids, v)[order]
+    when, at, alive, r = np.zeros(n, np.int64), np.zeros(n, np.int64), np.ones(n, bool), 0
+    while alive.any() and r != rounds:
+        degree = np.bincount(u, minlength=n)
+        key, near = degree * n + np.arange(n), np.full(n, n * n)
+        if len(u):
+            first = np.flatnonzero(np.r_[True, u[1:] != u[:-1]])
+            near[u[first]] = np.minimum.reduceat(key[v], first)
+        gone = alive & (key < near)
+        when[gone], at[gone] = r, degree[gone]
+        alive &= ~gone
+        keep = alive[u] & alive[v]
+        u, v, r = u[keep], v[keep], r + 1
+    when[alive], at[alive] = r, np.bincount(u, minlength=n)[alive]
+    return ids, when, at

@@ -169,3 +169,28 @@ def test_label_propagation_finds_two_cliques(spark):
     q = partition.partition_quality(m, partition.label_partition(m, 2, vert_balance=1.5, rounds=12)).first()
     start = partition.partition_quality(m, m.row_ids().selectExpr("i as id", "cast(i div 10 as int) as part")).first()
     assert q["cut_edges"] < start["cut_edges"]
+
+
+def plain_minimum_degree(edges, n):
+    adj = {u: {j for i, j in edges if i == u and j != u} | {i for i, j in edges if j == u and i != u} for u in range(n)}
+    out, rounds = [], 0
+    while adj:
+        key = {u: (len(adj[u]), u) for u in adj}
+        gone = [u for u in adj if all(key[u] < key[v] for v in adj[u])]
+        out += sorted(gone, key=key.get)
+        adj = {u: a - set(gone) for u, a in adj.items() if u not in set(gone)}
+        rounds += 1
+    return [p for _, p in sorted((v, p) for p, v in enumerate(out))], rounds
+
+
+@pytest.mark.parametrize("n, m, task", [(60, 700, 10**6), (60, 700, 1000), (7, 9, 0)])
+def test_minimum_degree_goes_on_until_no_vertex_is_left(spark, n, m, task):
+    e = random_graph(11, n - 2, m)  # the last two have no edges
+    want, rounds = plain_minimum_degree(e, n)
+    assert n < 60 or rounds > 8
+    assert as_list(partition.minimum_degree_order(build(spark, e, n), task_edges=task)) == want
+    if task == 10**6:
+        assert as_list(partition.minimum_degree_order(build(spark, e, n))) == want
+    if task == 0:
+        m = build(spark, e, n)
+        assert as_list(partition.minimum_degree_order(m, 1, task_edges=0)) == as_list(partition.minimum_degree_order(m, 1))
