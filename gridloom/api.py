@@ -57,7 +57,8 @@ def matrix_from_csr(rows: DataFrame, n_cols: int, n_rows: int | None = None, id:
     each = rows.where(F.col(id).isNotNull()).select(F.col(id).cast("bigint").alias("i"), *([F.col(vals).alias("_v")] if vals else []), cells.alias("_p", "j")).where("j is not null")
     nz = each.select("i", "j", *([F.get("_v", F.col("_p")).alias("v")] if vals else []))
     if n_rows is None:
-        n_rows = (rows.agg(F.max(id)).first()[0] or -1) + 1
+        top = rows.agg(F.max(id)).first()[0]
+        n_rows = top + 1 if top is not None else 0
     return matrix(nz, n_rows, n_cols)
 
 

@@ -12,6 +12,11 @@ def test_csr_rows_as_delivered(spark):
     assert sorted(map(repr, map(tuple, m.nz.collect()))) == sorted(map(repr, [(0, 2, 2.0), (0, 1, 1.0), (1, 0, None), (4, 1, 5.0), (4, 1, None)]))
 
 
+def test_csr_rows_with_only_row_0_or_none(spark):
+    rows = spark.createDataFrame([(0, [1], [2.0])], "i bigint, cols array<bigint>, vals array<double>")
+    assert api.matrix_from_csr(rows, 3).dimensions == (1, 3) and api.matrix_from_csr(rows.where("i > 0"), 3).dimensions == (0, 3)
+
+
 def test_layouts_and_graphs(spark, tmp_path):
     m = build(spark, A, 3)
     assert api.as_layout(m, "csr").count() == 3 and api.as_layout(m, "coo") is m
