@@ -148,3 +148,31 @@ def minimum_degree_rounds(u: np.ndarray, v: np.ndarray, rounds: int | None = Non
         u, v, r = u[keep], v[keep], r + 1
     when[alive], at[alive] = r, np.bincount(u, minlength=n)[alive]
     return ids, when, at
+
+
+def dissection_places(u: np.ndarray, v: np.ndarray, leaf: int) -> tuple[np.ndarray, np.ndarray]:
+    """(id, place) of the vertices of ``u`` by nested dissection down to ``leaf`` vertices, which stand by (degree, id).
+
+    A breadth-first order is halved; the vertices of the second half that touch the first come after both.
+    """
+    ids, u = np.unique(u, return_inverse=True)
+    out, todo = [], [(np.arange(len(ids)), u, np.searchsorted(ids, v), False)]
+    while todo:  # what comes last is taken first
+        own, u, v, whole = todo.pop()
+        n, u, v = len(own), np.searchsorted(own, u), np.searchsorted(own, v)
+        adj = Adjacency(u, v, n)
+        if whole or n <= leaf:
+            out.append(own[np.lexsort((own, adj.degree))][::-1])
+            continue
+        seen = adj.degree == 0
+        queue = [np.flatnonzero(seen)]
+        for r in range(n):
+            if not seen[r]:
+                queue.append(walk(adj, np.array([r]), seen)[0])
+        part = np.empty(n, np.int64)
+        part[np.concatenate(queue)] = np.arange(n) * 2 // n
+        part[u[(part[u] == 1) & (part[v] == 0)]] = 2
+        for p in range(3):
+            inside = (part[u] == p) & (part[v] == p)
+            todo.append((own[part == p], own[u[inside]], own[v[inside]], p == 2))
+    return ids[np.concatenate(out)[::-1]], np.arange(len(ids))

@@ -194,3 +194,21 @@ def test_minimum_degree_goes_on_until_no_vertex_is_left(spark, n, m, task):
     if task == 0:
         m = build(spark, e, n)
         assert as_list(partition.minimum_degree_order(m, 1, task_edges=0)) == as_list(partition.minimum_degree_order(m, 1))
+
+
+def test_dissection_goes_on_inside_large_parts(spark, monkeypatch):
+    n = 400
+    halves = lambda m, parts, *a, **k: m.row_ids().selectExpr("i as id", f"cast(i * {parts} div {n} as int) as part")
+    monkeypatch.setattr(partition, "multilevel_partition", halves)  # its search takes as many rounds as a path is long
+    path = [(k, k + 1) for k in range(n - 1)]
+    pos = as_list(partition.dissection_order(build(spark, path + [(j, i) for i, j in path], n), 1))
+    assert sorted(pos) == list(range(n))
+    near = {v: {w for w in (v - 1, v + 1) if 0 <= w < n} for v in range(n)}
+    height = dict.fromkeys(near, 1)
+    for v in sorted(near, key=pos.__getitem__):  # the height of the elimination tree
+        for w in near[v]:
+            near[w] = (near[w] | near[v]) - {v, w}
+        if near[v]:
+            up = min(near[v], key=pos.__getitem__)
+            height[up] = max(height[up], height[v] + 1)
+    assert max(height.values()) <= 64 + 4
