@@ -1,8 +1,9 @@
 """Loading delivered matrix lines while setting apart those that do not parse.
 
-The bulk path parses a block of lines with columnar kernels and only says yes or
-no. A block that fails is halved until the bad records stand in blocks of a few
-lines; those are diagnosed one by one with a strict reader that names the reason.
+The bulk path parses a block of lines with columnar kernels. A block that fails is
+halved again and again, by the counts of failures that the kernels left, until the
+bad records stand alone; only those are diagnosed, one by one, with a strict reader
+that names the reason.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -35,10 +37,6 @@ _INT = re.compile(r"[+-]?[0-9]+", re.ASCII)
 _DIGITS = re.compile(r"[0-9]+", re.ASCII)
 
 
-class _Unparsed(Exception):
-    """A block that holds at least one line the bulk path does not accept."""
-
-
 @lru_cache(maxsize=None)
 def _pattern(kind: str, delim: str) -> str:
     d = re.escape(delim)
@@ -55,33 +53,51 @@ def _pattern(kind: str, delim: str) -> str:
 
 
 def _integers(cells: pa.Array) -> pa.Array:
+    """The numbers in ``cells``; null for those of over 18 digits, which the strict reader takes."""
     bare = pc.ascii_trim(cells, characters=' "')
     digits = pc.ascii_ltrim(pc.ascii_ltrim(bare, characters="+-"), characters="0")
     digits = pc.if_else(pc.equal(digits, ""), "0", digits)
+    digits = pc.if_else(pc.less_equal(pc.binary_length(digits), 18), digits, pa.scalar(None, pa.string()))
     return pc.cast(pc.if_else(pc.starts_with(bare, "-"), pc.binary_join_element_wise("-", digits, ""), digits), pa.int64())
 
 
-def _bulk(lines: pa.Array, n_rows: pa.Array, n_cols: pa.Array, kind: str, delim: str) -> list[pa.Array]:
-    """The parsed columns of a block, all of whose lines are valid; else _Unparsed or an error of Arrow."""
+def _bulk(lines: pa.Array, n_rows: pa.Array, n_cols: pa.Array, kind: str, delim: str) -> tuple[list[pa.Array], pa.Array]:
+    """The parsed columns of a block, and for each line whether the kernels accept it."""
     got = pc.extract_regex(lines, _pattern(kind, delim))
-    if got.null_count:
-        raise _Unparsed
-    row, col = _integers(got.field("r")), _integers(got.field("c"))
-    ok = pc.and_(pc.and_(pc.greater_equal(row, 1), pc.less_equal(row, n_rows)), pc.and_(pc.greater_equal(col, 1), pc.less_equal(col, n_cols)))
-    if not pc.all(pc.fill_null(ok, False)).as_py():
-        raise _Unparsed
+    ok = pc.is_valid(got)
+    part = lambda name: pc.struct_field(got, name)
+    row, col = _integers(part("r")), _integers(part("c"))
+    inside = pc.and_(pc.and_(pc.greater_equal(row, 1), pc.less_equal(row, n_rows)), pc.and_(pc.greater_equal(col, 1), pc.less_equal(col, n_cols)))
+    ok = pc.and_(ok, pc.fill_null(inside, False))
     val, val_int = pa.nulls(len(lines), pa.float64()), pa.nulls(len(lines), pa.int64())
     if kind == "integer":
-        val_int = _integers(got.field("v"))
+        val_int = _integers(part("v"))
         val = pc.cast(val_int, pa.float64(), safe=False)
+        ok = pc.and_(ok, pc.is_valid(val))
     elif kind != "pattern":
-        val = pc.cast(pc.ascii_ltrim(pc.ascii_trim(got.field("v"), characters=' "'), characters="+"), pa.float64())
-        if not pc.all(pc.is_finite(val)).as_py():
-            raise _Unparsed
-    note = got.field("n")
+        val = pc.cast(pc.ascii_ltrim(pc.ascii_trim(part("v"), characters=' "'), characters="+"), pa.float64())
+        ok = pc.and_(ok, pc.fill_null(pc.is_finite(val), False))
+    note = part("n")
     inner = pc.replace_substring(pc.utf8_slice_codeunits(note, 1, -1), '""', '"')
     note = pc.if_else(pc.starts_with(note, '"'), inner, note)
-    return [row, col, val, val_int, note, pa.nulls(len(lines), pa.string())]
+    return [row, col, val, val_int, note, pa.nulls(len(lines), pa.string())], ok
+
+
+def isolate(failed: np.ndarray) -> np.ndarray:
+    """The places of the records that fail: blocks that hold a failure are halved until they hold one record.
+
+    Counts of failures up to each record tell whether a half fails, so no record is parsed twice.
+    """
+    upto = np.r_[0, np.cumsum(failed)]
+    first, end = np.array([0]), np.array([len(failed)])
+    while True:
+        fails = upto[end] > upto[first]
+        first, end = first[fails], end[fails]
+        many = end - first > 1
+        if not many.any():
+            return np.sort(first)
+        middle = (first + end) // 2
+        first, end = np.r_[first, middle[many]], np.r_[np.where(many, middle, end), end[many]]
 
 
 def split_cells(line: str, delim: str) -> list[str] | None:
@@ -152,27 +168,15 @@ def diagnose(line: str, n_rows: int | None, n_cols: int | None, kind: str, delim
     return (*ends, val, val_int, cells[-1], None)
 
 
-def _blocks(idx: pa.Array, lines: pa.Array, n_rows: pa.Array, n_cols: pa.Array, kind: str, delim: str, leaf: int) -> Iterator[tuple[pa.Array, list]]:
-    """(indices, parsed columns) of blocks that parse in bulk; (indices, rows) of the leaves that do not."""
-    todo = [(0, len(idx))]
-    one = len(delim) == 1 and delim not in ' "+-.0123456789eE'
-    while todo:
-        a, b = todo.pop()
-        if one:
-            try:
-                yield idx.slice(a, b - a), _bulk(lines.slice(a, b - a), n_rows.slice(a, b - a), n_cols.slice(a, b - a), kind, delim)
-                continue
-            except (_Unparsed, pa.ArrowInvalid):
-                pass
-        if b - a > leaf and one:
-            mid = (a + b) // 2
-            todo += [(mid, b), (a, mid)]
-        else:
-            rows = [diagnose(*x, kind, delim) for x in zip(lines.slice(a, b - a).to_pylist(), n_rows.slice(a, b - a).to_pylist(), n_cols.slice(a, b - a).to_pylist(), strict=True)]
-            yield idx.slice(a, b - a), rows
+def _block(lines: pa.Array, n_rows: pa.Array, n_cols: pa.Array, kind: str, delim: str) -> tuple[list[pa.Array], np.ndarray]:
+    """The parsed columns of a block and the places of the lines that are left to the strict reader."""
+    if len(delim) != 1 or delim in ' "+-.0123456789eE':  # a delimiter that could stand within a number
+        return [pa.nulls(len(lines), t) for _, t in _PARSED], np.arange(len(lines))
+    cols, ok = _bulk(lines, n_rows, n_cols, kind, delim)
+    return cols, isolate(~ok.to_numpy(zero_copy_only=False))
 
 
-def _parse_batch(batch: pa.RecordBatch, block_rows: int, leaf_rows: int) -> Iterator[pa.RecordBatch]:
+def _parse_batch(batch: pa.RecordBatch, block_rows: int) -> Iterator[pa.RecordBatch]:
     names = [*_KEYS, *(n for n, _ in _PARSED)]
     comment = pc.fill_null(pc.starts_with(batch["line"], "%"), False)
     batch = batch.filter(pc.invert(comment))
@@ -198,19 +202,23 @@ def _parse_batch(batch: pa.RecordBatch, block_rows: int, leaf_rows: int) -> Iter
         for at in range(0, len(idx), block_rows):
             some = idx.slice(at, block_rows)
             args = [batch[c].take(some) for c in ("line", "n_rows", "n_cols")]
-            for i, got in _blocks(some, *args, kind, sep, leaf_rows):
-                if isinstance(got[0], tuple):
-                    late_idx += i.to_pylist()
-                    late_rows += got
-                else:
-                    yield pa.RecordBatch.from_arrays([*(batch[k].take(i) for k in _KEYS), *got], names)
+            cols, alone = _block(*args, kind, sep)
+            if len(alone) < len(some):
+                clean = np.ones(len(some), bool)
+                clean[alone] = False
+                clean = pa.array(clean)
+                yield pa.RecordBatch.from_arrays([*(batch[k].take(some.filter(clean)) for k in _KEYS), *(c.filter(clean) for c in cols)], names)
+            if len(alone):
+                alone = pa.array(alone)
+                late_idx += some.take(alone).to_pylist()
+                late_rows += [diagnose(*x, kind, sep) for x in zip(*(a.take(alone).to_pylist() for a in args), strict=True)]
     if late_rows:
         i = pa.array(late_idx)
         cols = [pa.array(c, t) for c, (_, t) in zip(zip(*late_rows, strict=True), _PARSED, strict=True)]
         yield pa.RecordBatch.from_arrays([*(batch[k].take(i) for k in _KEYS), *cols], names)
 
 
-def parse_entries(lines: DataFrame, files: DataFrame, block_rows: int = 1024, leaf_rows: int = 32) -> DataFrame:
+def parse_entries(lines: DataFrame, files: DataFrame, block_rows: int = 65536) -> DataFrame:
     """Parse every line of ``lines`` (raw_id, file_id, line_no, line) by its file's field, delim, n_rows and n_cols.
 
     One row for each line that is no comment (does not begin with ``%``): a valid line has its 1-based row and col,
@@ -222,6 +230,10 @@ def parse_entries(lines: DataFrame, files: DataFrame, block_rows: int = 1024, le
     smallest counts. Empty tables give no rows. Other columns of either table are ignored, whatever their names.
     There is no shuffle unless ``files`` is too large to broadcast; lines are parsed where they are read, so one file
     with most lines does no harm.
+
+    ``block_rows`` bounds a block, which is otherwise the lines of one format in an Arrow batch. The strict reader gets
+    the lines that the kernels do not accept: those that fail, and valid numbers of more than 18 digits. Where the
+    delimiter is more than one character, or one that a number may hold, it gets every line.
     """
     shape = ["field", "delim", "n_rows", "n_cols"]
     files = (
@@ -234,7 +246,7 @@ def parse_entries(lines: DataFrame, files: DataFrame, block_rows: int = 1024, le
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield from _parse_batch(b, block_rows, leaf_rows)
+            yield from _parse_batch(b, block_rows)
 
     return full.mapInArrow(run, SCHEMA)
 

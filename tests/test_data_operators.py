@@ -1,6 +1,9 @@
 import random
 from collections import defaultdict
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from gridloom.operators import bad_rows, heavy_keys
@@ -27,8 +30,8 @@ BAD = [
 ]
 
 
-@pytest.mark.parametrize("block, leaf", [(1, 1), (7, 1), (64, 4), (4096, 32)])
-def test_every_kind_of_line(spark, block, leaf):
+@pytest.mark.parametrize("block", [1, 7, 64, 4096])
+def test_every_kind_of_line(spark, block):
     rng, rows, want = random.Random(block), [], {}
     for n in range(3):
         for f, line, out in rng.sample(GOOD, len(GOOD)) + rng.sample(BAD, len(BAD)):
@@ -36,7 +39,7 @@ def test_every_kind_of_line(spark, block, leaf):
             want[rows[-1][0]] = out
     rows += [(10_000, 1, 0, "% comment"), (10_001, 42, 0, "%"), (10_002, None, 0, '%"')]
     rng.shuffle(rows)
-    parsed = bad_rows.parse_entries(spark.createDataFrame(rows, LINES).coalesce(2), spark.createDataFrame(SHAPES, FILES), block, leaf)
+    parsed = bad_rows.parse_entries(spark.createDataFrame(rows, LINES).coalesce(2), spark.createDataFrame(SHAPES, FILES), block)
     valid, rejected = bad_rows.split_entries(parsed)
     got = {r["raw_id"]: (r["row"], r["col"], r["val"], r["val_int"], r["note"]) for r in valid.collect()}
     got |= {r["raw_id"]: r["reason"] for r in rejected.collect()}
@@ -49,12 +52,39 @@ def test_bulk_and_strict_agree_on_random_lines(spark):
     rows = [(k, 1, k, "".join(rng.choice(alphabet) for _ in range(rng.randint(0, 9)))) for k in range(3000)]
     rows += [(9000 + k, 1, k, f'{rng.choice(["1", chr(34) + "2" + chr(34)])},3,{rng.choice(["4.5", " 6 ", chr(34) + "7" + chr(34)])},{"".join(rng.choice(alphabet) for _ in range(3))}') for k in range(3000)]
     df, files = spark.createDataFrame(rows, LINES), spark.createDataFrame(SHAPES, FILES)
-    bulk = bad_rows.parse_entries(df, files, 64, 1).collect()
+    bulk = bad_rows.parse_entries(df, files, 64).collect()
     strict = {k: bad_rows.diagnose(line, 100, 50, "real", ",") for k, _, _, line in rows}
     assert {r["raw_id"]: tuple(r)[3:] for r in bulk} == strict
     assert {r["reason"] is None for r in bulk} == {True, False}
 
 
+@pytest.mark.parametrize("n, share", [(0, 0), (1, 0), (1, 1), (1000, 0), (1000, 0.01), (1000, 0.3), (1000, 1)])
+def test_isolated_records_are_those_that_fail(n, share):
+    failed = np.random.default_rng(n).random(n) < share
+    assert bad_rows.isolate(failed).tolist() == np.flatnonzero(failed).tolist()
+
+
+def test_the_strict_reader_gets_little_but_bad_lines(monkeypatch):
+    table = pq.read_table("/root/testdata/sf0.01/mtx_lines.parquet", columns=["raw_id", "file_id", "line_no", "line"])
+    files = {r["file_id"]: r for r in pq.read_table("/root/testdata/sf0.01/mtx_files.parquet").to_pylist()}
+    shapes = [files.get(f, {}) for f in table["file_id"].to_pylist()]
+    for c, t in (("field", pa.string()), ("delim", pa.string()), ("n_rows", pa.int64()), ("n_cols", pa.int64())):
+        table = table.append_column(c, pa.array([s.get(c) for s in shapes], t))
+    table = table.append_column("known", pa.array([bool(s) for s in shapes]))
+    seen, bad, diagnose = 0, 0, bad_rows.diagnose
+
+    def counted(*x):
+        nonlocal seen, bad
+        out = diagnose(*x)
+        seen, bad = seen + 1, bad + (out[-1] is not None)
+        return out
+
+    monkeypatch.setattr(bad_rows, "diagnose", counted)
+    for b in table.combine_chunks().to_batches():
+        list(bad_rows._parse_batch(b, 65536))
+    assert bad and seen <= 1.05 * bad
+
+
 def test_lines_empty_and_clashing(spark):
     files = spark.createDataFrame(SHAPES, FILES)
     assert bad_rows.parse_entries(spark.createDataFrame([], LINES), files).collect() == []
