@@ -53,15 +53,19 @@ def _p1_cte() -> str:
         whole = " ".join(f"WHEN delim = {'chr(9)' if d == chr(9) else repr(d)} THEN regexp_matches(line, '(?s)\\A{r.join([cell(r)] * n)}\\z')" for d, r in pats)
         return f"CASE WHEN NOT (CASE {whole} END) THEN NULL ELSE (CASE {arms} END) END"
 
+    def many() -> str:
+        """Whether a line is made of well quoted cells, however many."""
+        return "CASE " + " ".join(f"WHEN delim = {'chr(9)' if d == chr(9) else repr(d)} THEN regexp_matches(line, '(?s)\\A{cell(r)}({r}{cell(r)})*\\z')" for d, r in pats) + " END"
+
     bare = lambda c: f"trim(CASE WHEN {c} LIKE '\"%' THEN replace({c}[2:-2], '\"\"', '\"') ELSE {c} END, ' ')"
     return f"""
 WITH l AS (
   SELECT m.raw_id, m.file_id, m.line_no, m.line, f.file_id IS NOT NULL AS known, f.field, f.delim, f.n_rows, f.n_cols,
          coalesce(f.field IN ('real', 'double', 'integer', 'pattern'), false) AS sound
   FROM mtx_lines m LEFT JOIN mtx_files f USING (file_id) WHERE line IS NULL OR NOT starts_with(line, '%')),
-s AS (SELECT *, CASE WHEN sound AND field <> 'pattern' THEN {split(4)} END AS q, CASE WHEN sound AND field = 'pattern' THEN {split(3)} END AS t FROM l),
+s AS (SELECT *, CASE WHEN NOT sound THEN NULL ELSE ({many()}) END AS quoted, CASE WHEN sound AND field <> 'pattern' THEN {split(4)} END AS q, CASE WHEN sound AND field = 'pattern' THEN {split(3)} END AS t FROM l),
 c AS (
-  SELECT raw_id, file_id, line_no, known, sound, field, n_rows, n_cols, coalesce(q.a, t.a) AS r0, coalesce(q.b, t.b) AS c0, q.c AS v0, coalesce(q.d, t.c) AS n0 FROM s),
+  SELECT raw_id, file_id, line_no, line IS NULL AS missing, known, sound, quoted, delim, field, n_rows, n_cols, coalesce(q.a, t.a) AS r0, coalesce(q.b, t.b) AS c0, q.c AS v0, coalesce(q.d, t.c) AS n0 FROM s),
 u AS (
   SELECT *, {bare("r0")} AS r, {bare("c0")} AS cc, {bare("v0")} AS v,
          CASE WHEN n0 LIKE '"%' THEN replace(n0[2:-2], '""', '"') ELSE n0 END AS note FROM c),
@@ -88,6 +92,15 @@ SELECT raw_id, file_id, line_no, CAST(r AS BIGINT) AS row, CAST(cc AS BIGINT) AS
        CASE WHEN field <> 'pattern' THEN CAST(ltrim(v, '+') AS DOUBLE) END AS val,
        CASE WHEN field = 'integer' THEN CAST(ltrim(v, '+') AS BIGINT) END AS val_int, note
 FROM k WHERE good""",
+    "p1_reasons": _p1_cte() + """
+SELECT raw_id, file_id, line_no,
+  CASE WHEN missing THEN 'null line' WHEN NOT known THEN 'unknown file' WHEN NOT sound THEN 'unsupported field'
+       WHEN coalesce(delim, '') = '' THEN 'no delimiter' WHEN NOT quoted THEN 'broken quoting' WHEN r0 IS NULL THEN 'wrong number of cells'
+       WHEN NOT regexp_full_match(r, '[0-9]+') THEN 'row is not a number' WHEN NOT coalesce(try_cast(r AS HUGEINT) BETWEEN 1 AND n_rows, false) THEN 'row out of range'
+       WHEN NOT regexp_full_match(cc, '[0-9]+') THEN 'column is not a number' WHEN NOT coalesce(try_cast(cc AS HUGEINT) BETWEEN 1 AND n_cols, false) THEN 'column out of range'
+       WHEN NOT regexp_full_match(v, CASE WHEN field = 'integer' THEN '[+-]?[0-9]+' ELSE '[+-]?([0-9]+(\\.[0-9]*)?|\\.[0-9]+)([eE][+-]?[0-9]+)?' END) THEN 'value is not a number'
+       ELSE 'value out of range' END AS reason
+FROM k WHERE NOT coalesce(good, false)""",
     "p3_found": _AXES + " SELECT axis, file_id, idx FROM s WHERE n * 50 >= (SELECT count(*) FROM nonzeros)",
     "p3_sums": _AXES + " SELECT * FROM s",
 }
