@@ -1,25 +1,33 @@
 """All pairs of records whose sets overlap at or above a Jaccard threshold.
 
 Metric pivot partitioning. With distance d = 1 - Jaccard and the bound e = 1 -
-threshold, each record x is assigned to the pivot next to it that lies within
-reach: its core P, the q = floor(e * |x|) + 1 rarest of its values, at the known
-distance r = 1 - q / |x| < 1 - e. Records with one core and one size share a
-cell. By the triangle inequality any y within e of x has d(y, P) <= r + e < 1,
-so y is replicated to exactly the cells whose bound it meets; since that bound is
-below 1, y shares a value with P, and the cells to test are found through the
-pivots' values, which are rare. Pairs are compared exactly within the cells.
-
-Pivots sampled from the records would not do: nearly all distances between
-records with few common values are 1, where the inequality excludes nothing.
+threshold, pivots are elected among the records, and each record is assigned to
+the nearest pivot it meets within the radius R = 2/3 of the threshold, whose cell it
+shares with others. A record y is replicated to the cell of pivot p, of actual radius
+r(p) <= R, if d(y, p) <= r(p) + e: by the triangle inequality no other record can be
+within e of one in the cell. As R + e < 1, such a y shares values with p, and the
+cells to try are found through some of the pivot's rarer values. Pairs within a cell
+are compared exactly, unless their distances to the pivot differ by more than e.
+
+Sets of sparse values are mostly at distance 1 from each other, where the inequality
+excludes nothing. So only live records take part: those of whose values enough are
+held by other live records too. Pivots are elected among records that share one of
+their rarest values, and a record that no other could be paired with but those that
+have a cell needs none of its own.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.runtime import Scratch
 
+#: Bounds on distances, which are doubles, are widened by this; pairs themselves are tested in integers.
+_NEAR = 1e-9
+
 
 def record_sets(rows: DataFrame, id: str = "i", values: str = "cols") -> DataFrame:
     """(rec, vals) of each non-null id that has a non-null value: the sorted distinct values of all its rows."""
@@ -34,44 +42,111 @@ def _within(common: Column, a: Column, b: Column, num: int, den: int) -> Column:
     return common * den >= (a + b - common) * num
 
 
-def _cores(reps: DataFrame, num: int, den: int) -> DataFrame:
-    """(rec, m, core): the size of each set and its pivot, the sorted rarest values."""
-    each = reps.select("rec", F.size("vals").alias("m"), F.explode("vals").alias("val"))
-    often = each.groupBy("val").agg(F.count("*").alias("n"))
-    ranked = each.join(often, "val").groupBy("rec", "m").agg(F.array_sort(F.collect_list(F.struct("n", "val"))).alias("s"))
-    q = F.floor(F.col("m") * (den - num) / F.lit(den)).cast("int") + 1
-    return ranked.select("rec", "m", F.array_sort(F.transform(F.slice("s", F.lit(1), q), lambda x: x["val"])).alias("core"))
+def live_records(reps: DataFrame, num: int, den: int, scratch: Scratch) -> DataFrame:
+    """(rec, m, vals): the size of each set that may have a partner, and those of its values that other such sets hold, rarest first.
+
+    A partner holds at least num / den of the values, so a set with fewer shared ones has none. What is left is counted
+    anew while a tenth or more goes.
+    """
+    now, before = reps.select("rec", F.size("vals").alias("m"), "vals"), None
+    while True:
+        each = now.select("rec", "m", F.explode("vals").alias("val"))
+        often = each.groupBy("val").agg(F.count("*").alias("n")).where("n > 1")
+        kept = each.join(often, "val").groupBy("rec", "m").agg(F.array_sort(F.collect_list(F.struct("n", "val"))).alias("s"))
+        kept = kept.where(F.size("s") * den >= F.col("m") * num)
+        old, (now, count) = now if before is not None else None, scratch.write_counted(kept.select("rec", "m", F.transform("s", lambda x: x["val"]).alias("vals")))
+        scratch.drop(old)
+        if before is not None and (before - count) * 10 <= before or not count:
+            return now
+        before = count
+
+
+def _side(live: DataFrame, s: str) -> DataFrame:
+    return live.select(F.col("rec").alias(s), F.col("m").alias(f"m_{s}"), F.col("vals").alias(f"v_{s}"))
+
+
+def _compared(pairs: DataFrame, live: DataFrame, a: str, b: str) -> DataFrame:
+    """``pairs`` with common, m_a and m_b."""
+    full = pairs.join(_side(live, a), a).join(_side(live, b), b)
+    return full.select(*pairs.columns, F.size(F.array_intersect(f"v_{a}", f"v_{b}")).cast("bigint").alias("common"), f"m_{a}", f"m_{b}")
+
+
+def _jaccard(a: str, b: str) -> Column:
+    return F.col("common") / (F.col(f"m_{a}") + F.col(f"m_{b}") - F.col("common"))
+
+
+def elect_homes(live: DataFrame, num: int, den: int, scratch: Scratch) -> DataFrame:
+    """(rec, pivot, j): the nearest pivot within the radius that each assigned record met, and their similarity.
+
+    In each round the records without a home that share a value among their rarest floor(e * m) + 1 elect the one of
+    least hash, from the second round on four times as many each time; the others go to the nearest elected one they
+    share such a value with, if it is within the radius. It ends when no two records without a home share such a value:
+    of any two records within e of each other, which must share one, at least one then has a home.
+    """
+    take = F.floor(F.col("m") * (den - num) / F.lit(den)).cast("int") + 1 - (F.col("m") - F.size("vals"))
+    heads = scratch.write(live.select("rec", F.xxhash64("rec").alias("h"), F.explode(F.slice("vals", F.lit(1), take)).alias("val")))
+    homes, r = [], 0
+    while True:
+        groups = heads.groupBy("val").agg(F.count("*").alias("n"), F.min(F.struct("h", "rec")).alias("s")).where("n > 1")
+        place = (F.col("h").cast("double") + 2.0**63) / 2.0**64
+        chosen = (F.col("rec") == F.col("s.rec")) | (place * F.col("n") < F.lit(float(4**r if r else 0)))
+        met = heads.join(groups, "val").select("val", "rec", chosen.alias("chosen"))
+        met, count = scratch.write_counted(met)
+        if not count:
+            break
+        pivots = scratch.write(met.where("chosen").select(F.col("rec").alias("pivot")).distinct())
+        links = met.join(met.where("chosen").select("val", F.col("rec").alias("pivot")), "val").select("rec", "pivot").distinct()
+        links = links.join(pivots.select(F.col("pivot").alias("rec")), "rec", "left_anti")
+        near = _compared(links.withColumnRenamed("rec", "x"), live, "x", "pivot")
+        near = near.where(_within(F.col("common"), F.col("m_x"), F.col("m_pivot"), 3 * den - 2 * num, 3 * den))
+        best = near.groupBy("x").agg(F.max(F.struct(_jaccard("x", "pivot").alias("j"), (-F.col("pivot")).alias("p"))).alias("s"))
+        found = best.select(F.col("x").alias("rec"), (-F.col("s.p")).alias("pivot"), F.col("s.j").alias("j"))
+        homes.append(scratch.write(found.union(pivots.select("pivot", "pivot", F.lit(1.0)))))
+        old, heads = heads, scratch.write(heads.join(met.select("rec").distinct(), "rec", "left_semi").join(homes[-1].select("rec"), "rec", "left_anti"))
+        scratch.drop(old, met)
+        r += 1
+    if not homes:
+        return heads.select("rec", F.col("rec").alias("pivot"), F.lit(1.0).alias("j"))  # without rows
+    return reduce(DataFrame.union, homes)
+
+
+def replicate(live: DataFrame, homes: DataFrame, num: int, den: int, scratch: Scratch) -> DataFrame:
+    """(pivot, y, j): the live records that the cell of each pivot must hold, by the triangle inequality."""
+    e = (den - num) / den
+    reach = homes.groupBy("pivot").agg((F.min("j") - (e + _NEAR)).alias("t"))
+    own = reach.join(live.withColumnRenamed("rec", "pivot"), "pivot")
+    # the values of the pivot that a record in reach cannot all lack
+    need = F.greatest(F.ceil(F.col("t") * F.col("m")), F.lit(1))
+    probes = own.select("pivot", "t", F.col("m").alias("mp"), F.explode(F.slice("vals", F.lit(1), F.greatest(F.size("vals") - need + 1, F.lit(0)).cast("int"))).alias("val"))
+    each = live.select(F.col("rec").alias("y"), F.col("m").alias("my"), F.explode("vals").alias("val"))
+    met = probes.join(each, "val").where(F.least("mp", "my") >= F.col("t") * F.greatest("mp", "my")).select("pivot", "y", "t").distinct()
+    near = _compared(met, live, "y", "pivot").withColumn("j", _jaccard("y", "pivot")).where(F.col("j") >= F.col("t"))
+    return scratch.write(near.select("pivot", "y", "j"))
 
 
 def similar_classes(sets: DataFrame, num: int = 3, den: int = 4) -> tuple[DataFrame, DataFrame]:
     """(pairs, members) for ``record_sets`` at the threshold num / den, 0 < num <= den.
 
     members: (rec, rep) of each record; records with equal sets form a class whose smallest record stands for it.
-    pairs: (rep_a, rep_b, common, size_a, size_b) of each two classes at or above the threshold, once, in the order of
-    (size, rep). Without rows both are empty.
+    pairs: (rep_a, rep_b, common, size_a, size_b) of each two classes at or above the threshold, once, in either order.
+    Without rows both are empty.
     """
     scratch = Scratch(sets.sparkSession, "similar")
     sets = scratch.write(sets.select("rec", "vals"))
     classes = scratch.write(sets.groupBy("vals").agg(F.min("rec").alias("rep"), F.count("*").alias("copies")))
-    reps = classes.select(F.col("rep").alias("rec"), "vals")
     copied = sets.join(classes.where("copies > 1").select("vals", "rep"), "vals").select("rec", "rep")
     members = classes.where("copies = 1").select(F.col("rep").alias("rec"), "rep").union(copied)
-    homes = _cores(reps, num, den)
-    pivots = homes.groupBy("core", "m").agg(F.min("rec").alias("pivot"))
-    homes = scratch.write(homes.join(pivots, ["core", "m"]).select("pivot", "rec", "m", "core"))
-    pivots = homes.where("rec = pivot").select("pivot", "m", F.size("core").alias("q"), F.explode("core").alias("val"))
-    each = reps.select(F.col("rec").alias("b"), F.size("vals").alias("mb"), F.explode("vals").alias("val"))
-    met = pivots.join(each, "val").where((F.col("m") <= F.col("mb")) & (F.col("m") * den >= F.col("mb") * num))
-    met = met.groupBy("pivot", "m", "q", "b", "mb").agg(F.count("*").alias("o"))
-    q, m, o, mb = (F.col(c).cast("bigint") for c in ("q", "m", "o", "mb"))
-    reach = o * m * den >= (q * den - m * (den - num)) * (mb + q - o)
-    cells = met.where(reach).join(homes.select("pivot", F.col("rec").alias("a")), "pivot")
-    cells = cells.where((F.col("m") < F.col("mb")) | (F.col("a") < F.col("b"))).select("a", "b")
-    side = lambda s: reps.select(F.col("rec").alias(s), F.col("vals").alias(f"vals_{s}"))
-    full = cells.join(side("a"), "a").join(side("b"), "b")
-    full = full.select("a", "b", F.size(F.array_intersect("vals_a", "vals_b")).alias("common"), F.size("vals_a").alias("size_a"), F.size("vals_b").alias("size_b"))
-    pairs = full.where(_within(F.col("common"), F.col("size_a"), F.col("size_b"), num, den))
-    return scratch.write(pairs.withColumnsRenamed({"a": "rep_a", "b": "rep_b"})), scratch.write(members)
+    live = live_records(classes.select(F.col("rep").alias("rec"), "vals"), num, den, scratch)
+    homes = elect_homes(live, num, den, scratch)
+    cells = replicate(live, homes, num, den, scratch)
+    housed = homes.select(F.col("rec").alias("y"), F.lit(True).alias("housed"))
+    cells = cells.join(housed, "y", "left").select("pivot", F.col("y").alias("b"), F.col("j").alias("jb"), F.coalesce("housed", F.lit(False)).alias("housed"))
+    inside = homes.select("pivot", F.col("rec").alias("a"), F.col("j").alias("ja")).join(cells, "pivot")
+    once = (F.col("a") != F.col("b")) & (~F.col("housed") | (F.col("a") < F.col("b")))  # the other one's cell has the pair too
+    inside = inside.where(once & (F.abs(F.col("ja") - F.col("jb")) <= (den - num) / den + _NEAR)).select("a", "b")
+    pairs = _compared(inside, live, "a", "b").where(_within(F.col("common"), F.col("m_a"), F.col("m_b"), num, den))
+    pairs = pairs.select(F.col("a").alias("rep_a"), F.col("b").alias("rep_b"), "common", F.col("m_a").alias("size_a"), F.col("m_b").alias("size_b"))
+    return scratch.write(pairs), scratch.write(members)
 
 
 def similar_pairs(rows: DataFrame, num: int = 3, den: int = 4, id: str = "i", values: str = "cols") -> DataFrame:
