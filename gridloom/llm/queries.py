@@ -96,7 +96,22 @@ o AS (SELECT a.i AS row_a, b.i AS row_b, count(*) AS o FROM s a JOIN s b ON a.c
 p AS (SELECT row_a, row_b FROM o JOIN k x ON x.i = row_a JOIN k y ON y.i = row_b WHERE o * 4 >= (x.k + y.k - o) * 3)
 """
 
+_SPANS = """
+WITH t AS (SELECT DISTINCT doc_id, text FROM documents WHERE doc_id IS NOT NULL AND length(text) >= 200),
+w AS (SELECT doc_id, p, hash(substring(text, p + 1, 200)) AS h FROM (SELECT doc_id, text, unnest(range(length(text) - 199)) AS p FROM t)),
+g AS (SELECT h FROM w GROUP BY h HAVING min(doc_id) <> max(doc_id)),
+s AS (SELECT doc_id, p FROM w SEMI JOIN g USING (h)),
+n AS (SELECT *, CASE WHEN p - lag(p) OVER o <= 200 THEN 0 ELSE 1 END AS new FROM s WINDOW o AS (PARTITION BY doc_id ORDER BY p)),
+r AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM n),
+f AS (SELECT doc_id, min(p) AS span_start, max(p) + 200 AS span_end FROM r GROUP BY doc_id, run)
+"""
+
 SQL = {
+    "p8_found": _SPANS + "SELECT doc_id, span_start, span_end FROM f",
+    "p8_share": _SPANS + """, d AS (SELECT doc_id, max(coalesce(length(text), 0))::BIGINT AS n_chars FROM documents WHERE doc_id IS NOT NULL GROUP BY 1),
+c AS (SELECT doc_id, count(*) AS n_spans, sum(span_end - span_start)::BIGINT AS shared_chars FROM f GROUP BY 1)
+SELECT doc_id, n_chars, coalesce(n_spans, 0) AS n_spans, coalesce(shared_chars, 0) AS shared_chars, CASE WHEN n_chars > 0 THEN coalesce(shared_chars, 0) / n_chars ELSE 0.0 END AS shared_share
+FROM d LEFT JOIN c USING (doc_id)""",
     "p6_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
     "p2_found": _GROUPS + "SELECT id, group_id FROM g",
     "p2_groups": _GROUPS + """, r AS (SELECT id FROM vertices UNION SELECT i FROM pair_matches UNION SELECT j FROM pair_matches)

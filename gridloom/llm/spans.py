@@ -2,19 +2,23 @@
 
 Seed and extend. Each text is winnowed: of every window of consecutive k-grams
 the one with the least hash becomes an anchor, so a span of min_span characters
-holds the same anchor wherever it stands. Records are joined on anchors; around
-each anchor that several records hold, the text within reach is compared to both
-sides, and the matches that come to min_span are kept and merged. An anchor need
-only be extended within reach, because a longer match has further anchors.
+holds the same anchor wherever it stands. Records are joined on anchors, and around
+each anchor that several records hold the match is extended both ways in two steps:
+first from the anchor to the cores that neighbouring windows of min_span characters
+have in common, then, where a core is shared, to the whole windows. Each step is a
+join on what the text then is, so it costs the same per record however many records
+hold the anchor. The widest stretch that the shared windows around an anchor cover
+is kept, and those of all anchors are merged. An anchor need only be extended within
+reach, because a longer match has further anchors.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -138,89 +142,64 @@ def _contexts(documents: DataFrame, met: DataFrame, k: int, reach: int) -> DataF
     return documents.join(at, "doc_id").select("doc_id", "text", "at").mapInArrow(run, "hash bigint, doc_id bigint, pos int, left int, ctx string")
 
 
-def _extend(ctx: list[str], left: np.ndarray, group: np.ndarray, lo: np.ndarray, hi: np.ndarray, k: int, min_span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, start, end) of the matches between rows of one group; start and end count from the anchor."""
-    reach, n = min_span - k, len(ctx)
-    grid = np.broadcast_to(np.arange(n, dtype=np.uint32)[:, None] + np.uint32(0x110000), (n, 2 * reach + k)).copy()  # where there is no text, no two rows agree
-    lens = np.array([len(c) for c in ctx])
-    first = reach - left
-    rows = np.repeat(np.arange(n), lens)
-    grid[rows, np.arange(lens.sum()) - np.repeat(np.cumsum(lens) - lens, lens) + np.repeat(first, lens)] = _codes("".join(ctx))
-    out = []
-    for shift in range(1, n):
-        a = np.flatnonzero(group[shift:] == group[:-shift])
-        if not len(a):
-            break
-        b = a + shift
-        apart = ~((lo[a] == hi[a]) & (lo[b] == hi[b]) & (lo[a] == lo[b]))
-        a, b = a[apart], b[apart]
-        same = grid[a] == grid[b]
-        mid = same[:, reach : reach + k].all(axis=1)
-        a, b, same = a[mid], b[mid], same[mid]
-        before = np.logical_and.accumulate(same[:, reach - 1 :: -1] if reach else same[:, :0], axis=1).sum(axis=1)
-        after = np.logical_and.accumulate(same[:, reach + k :], axis=1).sum(axis=1)
-        good = before + after >= reach
-        for x in (a, b):
-            out.append(np.stack([x[good], -before[good], k + after[good]]))
-    return tuple(np.concatenate(out, axis=1)) if out else (np.zeros(0, np.int64),) * 3
-
-
-def _by_groups(t: pa.Table, out, rows: int = 4096) -> Iterator[pa.RecordBatch]:
-    """``out`` of slices of about ``rows`` rows that end where a group ends."""
-    hashes, at = t["hash"].to_numpy(), 0
-    while at < len(hashes):
-        end = min(at + rows, len(hashes))
-        end += int(np.argmax(np.r_[hashes[end:] != hashes[end - 1], True]))
-        yield from out(t.slice(at, end - at))
-        at = end
-
-
-def _pairwise(classes: DataFrame, k: int, min_span: int) -> DataFrame:
-    """(hash, ck, start, end) of the matches between classes of one anchor, whose rows are few."""
-
-    def out(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        col = lambda c: t[c].to_numpy()
-        row, start, end = _extend(t["ctx"].to_pylist(), col("left"), col("hash"), col("lo"), col("hi"), k, min_span)
-        if len(row):
-            yield pa.RecordBatch.from_arrays([pa.array(col("hash")[row]), pa.array(col("ck")[row]), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))], ["hash", "ck", "start", "end"])
+def _ranges(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, x) for each x from first to last of each row."""
+    n = np.maximum(last - first + 1, 0)
+    row = np.repeat(np.arange(len(n)), n)
+    return row, np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + first[row]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: pa.Table | None = None
-        for b in batches:
-            t = pa.Table.from_batches([b])
-            if rest is not None and rest.num_rows:
-                t = pa.concat_tables([rest, t])
-            last = t["hash"][-1]
-            whole = t.num_rows - int(pc.sum(pc.equal(t["hash"], last)).as_py())
-            yield from _by_groups(t.slice(0, whole), out)
-            rest = t.slice(whole)
-        if rest is not None and rest.num_rows:
-            yield from out(rest)
-
-    return classes.repartition("hash").sortWithinPartitions("hash").select("hash", "ck", "left", "ctx", "lo", "hi").mapInArrow(run, "hash bigint, ck bigint, start int, end int")
 
+def _steps(classes: DataFrame, k: int, min_span: int, width: int, whole: bool) -> DataFrame:
+    """(hash, ck, lo, hi, at, w) of the stretches around the anchor of each class that a step of the extension compares.
 
-def _windows(classes: DataFrame, min_span: int) -> DataFrame:
-    """(hash, ck, start, end) of the matches between classes of one anchor, however many: whole windows that several records hold."""
+    A window that starts s characters before the anchor belongs to the run at = s div width. In the first step w is the
+    hash of the core of a run, for each run of which the class holds a window; in the second (``whole``) that of a window,
+    and at is s, for the windows of the runs in ``runs``.
+    """
+    reach = min_span - k
+
+    def out(t: pa.RecordBatch, roller: Roller) -> pa.RecordBatch:
+        ctx, left = t["ctx"].to_pylist(), t["left"].to_numpy().astype(np.int64)
+        lens = np.array([len(c) for c in ctx])
+        sums, anchor = roller.sums(_codes("".join(ctx))), np.cumsum(lens) - lens + left
+        first, last = np.maximum(0, reach - (lens - left - k)), np.minimum(left, reach)  # the s of the windows it holds
+        if whole:
+            runs = t["runs"].flatten().to_numpy().astype(np.int64)
+            of = np.repeat(np.arange(len(ctx)), t["runs"].value_lengths().to_numpy())
+            row, at = _ranges(np.maximum(first[of], runs * width), np.minimum(last[of], runs * width + width - 1))
+            row, before, after = of[row], at, reach - at
+        else:
+            row, at = _ranges(first // width, last // width)
+            before, after = at * width, np.maximum(reach - at * width - width + 1, 0)
+        a = anchor[row] - before
+        w = _mix((sums[anchor[row] + k + after] - sums[a]) * roller.up[a]).view(np.int64)
+        take = pa.array(row)
+        return pa.RecordBatch.from_arrays([*(t[c].take(take) for c in ("hash", "ck", "lo", "hi")), pa.array(at.astype(np.int32)), pa.array(w)], ["hash", "ck", "lo", "hi", "at", "w"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        roller = Roller(2 * min_span)
+        rows = max(1, _PIECE // (2 * min_span))
+        roller = Roller(max(_PIECE, 2 * min_span))
         for b in batches:
-            rows, starts, hashes = [], [], []
-            for n, (ctx, left) in enumerate(zip(b["ctx"].to_pylist(), b["left"].to_pylist(), strict=True)):
-                if len(ctx) >= min_span:
-                    grams = roller.grams(roller.sums(_codes(ctx)), min_span)
-                    rows.append(np.full(len(grams), n))
-                    starts.append(np.arange(len(grams)) - left)
-                    hashes.append(grams.view(np.int64))
-            if rows:
-                take = pa.array(np.concatenate(rows))
-                yield pa.RecordBatch.from_arrays([*(b[c].take(take) for c in ("hash", "ck", "lo", "hi")), pa.array(np.concatenate(starts).astype(np.int32)), pa.array(np.concatenate(hashes))], ["hash", "ck", "lo", "hi", "start", "w"])
-
-    each = classes.select("hash", "ck", "left", "ctx", "lo", "hi").mapInArrow(run, "hash bigint, ck bigint, lo bigint, hi bigint, start int, w bigint")
-    keys = ["hash", "start", "w"]
+            for at in range(0, b.num_rows, rows):
+                yield out(b.slice(at, rows), roller)
+
+    columns = ["hash", "ck", "left", "ctx", "lo", "hi", *(["runs"] if whole else [])]
+    return classes.where(F.length("ctx") >= min_span).select(*columns).mapInArrow(run, "hash bigint, ck bigint, lo bigint, hi bigint, at int, w bigint")
+
+
+def _several(each: DataFrame) -> DataFrame:
+    """The rows of ``_steps`` whose stretch stands in more than one document."""
+    keys = ["hash", "at", "w"]
     shared = each.groupBy(*keys).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi").select(*keys)
-    return each.join(shared, keys, "left_semi").select("hash", "ck", "start", (F.col("start") + min_span).alias("end"))
+    return each.select("hash", "ck", "at", "w").join(shared, keys, "left_semi")
+
+
+def _extend(classes: DataFrame, k: int, min_span: int) -> DataFrame:
+    """(hash, ck, start, end) of each class that shares a window with another one: the stretch of its shared windows, from the anchor."""
+    width = max(1, math.isqrt(min_span - k + 1))
+    runs = _several(_steps(classes, k, min_span, width, False)).groupBy("hash", "ck").agg(F.collect_set("at").alias("runs"))  # some dozen runs at most
+    windows = _several(_steps(classes.join(runs, ["hash", "ck"]), k, min_span, width, True))
+    return windows.groupBy("hash", "ck").agg((-F.max("at")).alias("start"), (F.lit(min_span) - F.min("at")).alias("end"))
 
 
 def merge_spans(spans: DataFrame) -> DataFrame:
@@ -231,7 +210,7 @@ def merge_spans(spans: DataFrame) -> DataFrame:
     return runs.groupBy("doc_id", "run").agg(F.min("start").alias("span_start"), F.max("end").alias("span_end")).select("doc_id", "span_start", "span_end")
 
 
-def shared_spans(documents: DataFrame, min_span: int = 200, k: int = 64, few: int = 64) -> DataFrame:
+def shared_spans(documents: DataFrame, min_span: int = 200, k: int = 64) -> DataFrame:
     """(doc_id, span_start, span_end) of each maximal run of positions of a text that lie in a substring of at least
     ``min_span`` code points that stands in the text of another doc_id as well.
 
@@ -241,9 +220,8 @@ def shared_spans(documents: DataFrame, min_span: int = 200, k: int = 64, few: in
     document.
 
     ``k`` is the length of the grams, at most min_span. Around an anchor that several documents hold, equal surroundings
-    are first counted as one class. Up to ``few`` classes are compared pairwise; where there are more, their windows of
-    min_span characters are counted instead, which costs the same per class however many there are. Both give the same
-    spans. Classes and windows are told apart by two 64-bit hashes, one of the anchor and one of the rest.
+    are first counted as one class, so copies cost one comparison; a class has one stretch, which each of its anchors
+    gets. Classes, cores and windows are told apart by two 64-bit hashes, one of the anchor and one of the rest.
     """
     if not 0 < k <= min_span:
         raise ValueError("k must lie between 1 and min_span")
@@ -256,12 +234,11 @@ def shared_spans(documents: DataFrame, min_span: int = 200, k: int = 64, few: in
     scratch.drop(anchors)
     classes = found.groupBy("hash", "ck").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.min("ctx").alias("ctx"), F.min("left").alias("left"))
     classes = scratch.write(classes)
-    sizes = classes.groupBy("hash").agg(F.count("*").alias("n"))
-    small = classes.join(sizes.where((F.col("n") > 1) & (F.col("n") <= few)), "hash", "left_semi")
-    large = classes.join(sizes.where(F.col("n") > few), "hash", "left_semi")
+    others = classes.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
+    apart = scratch.write(classes.join(others, "hash", "left_semi"))
     whole = classes.where((F.col("lo") != F.col("hi")) & (F.length("ctx") >= min_span)).select("hash", "ck", (-F.col("left")).alias("start"), (F.length("ctx") - F.col("left")).alias("end"))
-    matches = _pairwise(small, k, min_span).union(_windows(large, min_span)).union(whole).distinct()
-    spans = found.select("hash", "ck", "doc_id", "pos").join(matches, ["hash", "ck"])
+    stretches = _extend(apart, k, min_span).union(whole).groupBy("hash", "ck").agg(F.min("start").alias("start"), F.max("end").alias("end"))  # all hold the anchor
+    spans = found.select("hash", "ck", "doc_id", "pos").join(stretches, ["hash", "ck"])
     return merge_spans(spans.select("doc_id", (F.col("pos") + F.col("start")).cast("bigint").alias("start"), (F.col("pos") + F.col("end")).cast("bigint").alias("end")))
 
 
