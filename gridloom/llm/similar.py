@@ -10,16 +10,19 @@ cells to try are found through some of the pivot's rarer values. Pairs within a
 are compared exactly, unless their distances to the pivot differ by more than e.
 
 Sets of sparse values are mostly at distance 1 from each other, where the inequality
-excludes nothing. So only live records take part: those of whose values enough are
-held by other live records too. Pivots are elected among records that share one of
-their rarest values, and a record that no other could be paired with but those that
-have a cell needs none of its own.
+excludes nothing. So only live records take part: those that share a signature, two
+of their rarer values, with another, as any two records within e of each other do.
+Pivots are elected among the records of a signature, and a record that no other could
+be paired with but those that have a cell needs none of its own.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +30,10 @@ from gridloom.runtime import Scratch
 
 #: Bounds on distances, which are doubles, are widened by this; pairs themselves are tested in integers.
 _NEAR = 1e-9
+#: Values are ordered by the count of their hash bucket, rarer ones first: a table of this size, whatever the data.
+_BUCKETS = 1 << 16
+#: Records of more values have single values as signatures, whose number does not grow with the square of the size.
+_PAIRED = 64
 
 
 def record_sets(rows: DataFrame, id: str = "i", values: str = "cols") -> DataFrame:
@@ -42,23 +49,103 @@ def _within(common: Column, a: Column, b: Column, num: int, den: int) -> Column:
     return common * den >= (a + b - common) * num
 
 
-def live_records(reps: DataFrame, num: int, den: int, scratch: Scratch) -> DataFrame:
-    """(rec, m, vals): the size of each set that may have a partner, and those of its values that other such sets hold, rarest first.
+def _mix(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit numbers."""
+    x = x.astype(np.uint64)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
-    A partner holds at least num / den of the values, so a set with fewer shared ones has none. What is left is counted
-    anew while a tenth or more goes.
+
+def _bucket(h: np.ndarray) -> np.ndarray:
+    return (h & np.uint64(_BUCKETS - 1)).astype(np.int64)
+
+
+def bucket_counts(reps: DataFrame) -> np.ndarray:
+    """How often values of each hash bucket occur in all sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(_BUCKETS, np.int64)
+        for b in batches:
+            n += np.bincount(_bucket(_mix(b["vals"].flatten().to_numpy())), minlength=_BUCKETS)
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], ["bucket", "n"])
+
+    out = np.zeros(_BUCKETS, np.int64)
+    for r in reps.select("vals").mapInArrow(run, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).collect():  # at most _BUCKETS rows
+        out[r["bucket"]] = r["n"]
+    return out
+
+
+def _ordered(b: pa.RecordBatch, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first, size, hashes, values): of each set, its values rarest first, from place ``first`` on."""
+    size = b["vals"].value_lengths().to_numpy().astype(np.int64)
+    vals = b["vals"].flatten().to_numpy()
+    h = _mix(vals)
+    order = np.lexsort((h, counts[_bucket(h)], np.repeat(np.arange(len(size)), size)))
+    return np.cumsum(size) - size, size, h[order], vals[order]
+
+
+def _spread(first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, place) of the n places from ``first`` on of each row."""
+    row = np.repeat(np.arange(len(n)), n)
+    return row, np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + first[row]
+
+
+def signatures(reps: DataFrame, counts: np.ndarray, num: int, den: int) -> DataFrame:
+    """(rec, sig): two sets within the threshold that differ share a signature.
+
+    They have at least t = num / den of the values of either in common, so their first m - t + 1 values share one, and
+    their first m - t + 2 values two, if they have two in common. Sets of up to _PAIRED values have each two of the latter
+    as signatures, sets that have a partner above that size, or one with which they share but one value, each of the former.
     """
-    now, before = reps.select("rec", F.size("vals").alias("m"), "vals"), None
-    while True:
-        each = now.select("rec", "m", F.explode("vals").alias("val"))
-        often = each.groupBy("val").agg(F.count("*").alias("n")).where("n > 1")
-        kept = each.join(often, "val").groupBy("rec", "m").agg(F.array_sort(F.collect_list(F.struct("n", "val"))).alias("s"))
-        kept = kept.where(F.size("s") * den >= F.col("m") * num)
-        old, (now, count) = now if before is not None else None, scratch.write_counted(kept.select("rec", "m", F.transform("s", lambda x: x["val"]).alias("vals")))
-        scratch.drop(old)
-        if before is not None and (before - count) * 10 <= before or not count:
-            return now
-        before = count
+
+    def out(b: pa.RecordBatch) -> pa.RecordBatch:
+        first, m, h, _ = _ordered(b, counts)
+        t = -(-m * num // den)
+        rows, sigs = [], []
+        paired = np.flatnonzero(m <= _PAIRED)
+        head = np.minimum(m, m - t + 2)
+        for n in np.unique(head[paired]):
+            own = paired[head[paired] == n]
+            x, y = np.triu_indices(n, 1)
+            a, c = h[(first[own][:, None] + x).ravel()], h[(first[own][:, None] + y).ravel()]
+            rows.append(np.repeat(own, len(x)))
+            sigs.append(_mix(a * np.uint64(0x9E3779B97F4A7C15) + c))
+        single = np.flatnonzero((m * den > _PAIRED * num) | (t <= 1))
+        row, at = _spread(first[single], (m - t + 1)[single])
+        rows.append(single[row])
+        sigs.append(h[at])
+        return pa.RecordBatch.from_arrays([b["rec"].take(pa.array(np.concatenate(rows))), pa.array(np.concatenate(sigs).view(np.int64))], ["rec", "sig"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                yield out(b)
+
+    return reps.select("rec", "vals").mapInArrow(run, "rec bigint, sig bigint")
+
+
+def rarest_first(reps: DataFrame, counts: np.ndarray) -> DataFrame:
+    """(rec, m, vals): each set with its size, its values rarest first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            first, m, _, vals = _ordered(b, counts)
+            ends = pa.array(np.r_[first, len(vals)].astype(np.int32))
+            yield pa.RecordBatch.from_arrays([b["rec"], pa.array(m.astype(np.int32)), pa.ListArray.from_arrays(ends, pa.array(vals))], ["rec", "m", "vals"])
+
+    return reps.select("rec", "vals").mapInArrow(run, "rec bigint, m int, vals array<bigint>")
+
+
+def live_records(reps: DataFrame, num: int, den: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(live, heads): the records that share a signature with another (``rarest_first``), and (rec, h, sig) of those signatures."""
+    counts = bucket_counts(reps)
+    each = scratch.write(signatures(reps, counts, num, den))
+    groups = each.groupBy("sig").agg(F.count("*").alias("n")).where("n > 1").select("sig")
+    heads = scratch.write(each.join(groups, "sig", "left_semi").select("rec", F.xxhash64("rec").alias("h"), "sig"))
+    scratch.drop(each)
+    return scratch.write(rarest_first(reps.join(heads.select("rec"), "rec", "left_semi"), counts)), heads
 
 
 def _side(live: DataFrame, s: str) -> DataFrame:
@@ -75,35 +162,34 @@ def _jaccard(a: str, b: str) -> Column:
     return F.col("common") / (F.col(f"m_{a}") + F.col(f"m_{b}") - F.col("common"))
 
 
-def elect_homes(live: DataFrame, num: int, den: int, scratch: Scratch) -> DataFrame:
+def elect_homes(live: DataFrame, heads: DataFrame, num: int, den: int, scratch: Scratch) -> DataFrame:
     """(rec, pivot, j): the nearest pivot within the radius that each assigned record met, and their similarity.
 
-    In each round the records without a home that share a value among their rarest floor(e * m) + 1 elect the one of
-    least hash, from the second round on four times as many each time; the others go to the nearest elected one they
-    share such a value with, if it is within the radius. It ends when no two records without a home share such a value:
-    of any two records within e of each other, which must share one, at least one then has a home.
+    In each round the records without a home that share a signature elect the one of least hash, from the second round on
+    16 times as many each time; the others go to the nearest elected one they share a signature with, if it is within the
+    radius. It ends when no two records without a home share a signature: of any two records within e of each other,
+    which must share one, at least one then has a home.
     """
-    take = F.floor(F.col("m") * (den - num) / F.lit(den)).cast("int") + 1 - (F.col("m") - F.size("vals"))
-    heads = scratch.write(live.select("rec", F.xxhash64("rec").alias("h"), F.explode(F.slice("vals", F.lit(1), take)).alias("val")))
     homes, r = [], 0
     while True:
-        groups = heads.groupBy("val").agg(F.count("*").alias("n"), F.min(F.struct("h", "rec")).alias("s")).where("n > 1")
+        groups = heads.groupBy("sig").agg(F.count("*").alias("n"), F.min(F.struct("h", "rec")).alias("s")).where("n > 1")
         place = (F.col("h").cast("double") + 2.0**63) / 2.0**64
-        chosen = (F.col("rec") == F.col("s.rec")) | (place * F.col("n") < F.lit(float(4**r if r else 0)))
-        met = heads.join(groups, "val").select("val", "rec", chosen.alias("chosen"))
-        met, count = scratch.write_counted(met)
+        chosen = (F.col("rec") == F.col("s.rec")) | (place * F.col("n") < F.lit(float(16**r if r else 0)))
+        met, count = scratch.write_counted(heads.join(groups, "sig").select("sig", "rec", "h", chosen.alias("chosen")))
         if not count:
             break
-        pivots = scratch.write(met.where("chosen").select(F.col("rec").alias("pivot")).distinct())
-        links = met.join(met.where("chosen").select("val", F.col("rec").alias("pivot")), "val").select("rec", "pivot").distinct()
-        links = links.join(pivots.select(F.col("pivot").alias("rec")), "rec", "left_anti")
-        near = _compared(links.withColumnRenamed("rec", "x"), live, "x", "pivot")
+        pivots = met.where("chosen").select(F.col("rec").alias("pivot")).distinct()
+        links = met.where("not chosen").select("sig", F.col("rec").alias("x")).join(met.where("chosen").select("sig", F.col("rec").alias("pivot")), "sig")
+        links = links.select("x", "pivot").distinct().join(pivots.select(F.col("pivot").alias("x")), "x", "left_anti")
+        near = _compared(links, live, "x", "pivot")
         near = near.where(_within(F.col("common"), F.col("m_x"), F.col("m_pivot"), 3 * den - 2 * num, 3 * den))
         best = near.groupBy("x").agg(F.max(F.struct(_jaccard("x", "pivot").alias("j"), (-F.col("pivot")).alias("p"))).alias("s"))
         found = best.select(F.col("x").alias("rec"), (-F.col("s.p")).alias("pivot"), F.col("s.j").alias("j"))
         homes.append(scratch.write(found.union(pivots.select("pivot", "pivot", F.lit(1.0)))))
-        old, heads = heads, scratch.write(heads.join(met.select("rec").distinct(), "rec", "left_semi").join(homes[-1].select("rec"), "rec", "left_anti"))
-        scratch.drop(old, met)
+        heads, left = scratch.write_counted(met.join(homes[-1].select("rec"), "rec", "left_anti").select("rec", "h", "sig"))
+        scratch.drop(met)
+        if not left:
+            break
         r += 1
     if not homes:
         return heads.select("rec", F.col("rec").alias("pivot"), F.lit(1.0).alias("j"))  # without rows
@@ -136,8 +222,8 @@ def similar_classes(sets: DataFrame, num: int = 3, den: int = 4) -> tuple[DataFr
     classes = scratch.write(sets.groupBy("vals").agg(F.min("rec").alias("rep"), F.count("*").alias("copies")))
     copied = sets.join(classes.where("copies > 1").select("vals", "rep"), "vals").select("rec", "rep")
     members = classes.where("copies = 1").select(F.col("rep").alias("rec"), "rep").union(copied)
-    live = live_records(classes.select(F.col("rep").alias("rec"), "vals"), num, den, scratch)
-    homes = elect_homes(live, num, den, scratch)
+    live, heads = live_records(classes.select(F.col("rep").alias("rec"), "vals"), num, den, scratch)
+    homes = elect_homes(live, heads, num, den, scratch)
     cells = replicate(live, homes, num, den, scratch)
     housed = homes.select(F.col("rec").alias("y"), F.lit(True).alias("housed"))
     cells = cells.join(housed, "y", "left").select("pivot", F.col("y").alias("b"), F.col("j").alias("jb"), F.coalesce("housed", F.lit(False)).alias("housed"))

@@ -4,6 +4,7 @@ from collections import defaultdict
 import pytest
 
 from gridloom.llm import similar
+from gridloom.runtime import Scratch
 
 SCHEMA = "i bigint, cols array<bigint>"
 
@@ -52,6 +53,31 @@ def test_template_sets_share_a_core(spark):
     assert {(x["row_a"], x["row_b"]) for x in out} == brute(r, 3, 4)
 
 
+@pytest.mark.parametrize("num, den", [(3, 4), (1, 2)])
+def test_sizes_around_the_bound_of_paired_signatures(spark, num, den):
+    rng, r = random.Random(8), []
+    for k in range(60):
+        base = rng.sample(range(400), rng.choice([30, 48, 60, 64, 65, 80, 130]))
+        for _ in range(2):
+            r.append((len(r), [c for c in base if rng.random() > rng.choice([0.02, 0.15, 0.3])] + rng.sample(range(400), rng.randint(0, 6))))
+    out = similar.similar_pairs(spark.createDataFrame(r, SCHEMA), num, den).collect()
+    assert {(x["row_a"], x["row_b"]) for x in out} == brute(r, num, den)
+
+
+def test_records_share_pivots(spark):
+    rng, r = random.Random(2), []
+    for k in range(40):
+        base = rng.sample(range(10_000), 20)
+        r += [(10 * k + c, base[:c] + base[c + 1 :]) for c in range(10)]
+    scratch = Scratch(spark, "test")
+    sets = similar.record_sets(spark.createDataFrame(r, SCHEMA))
+    live, heads = similar.live_records(sets, 3, 4, scratch)
+    homes = similar.elect_homes(live, heads, 3, 4, scratch)
+    cells = similar.replicate(live, homes, 3, 4, scratch)
+    assert live.count() == homes.count() == 400 and homes.select("pivot").distinct().count() <= 0.3 * 400
+    assert cells.count() <= 1200
+
+
 def test_summary(spark):
     r = rows(4, 80)
     pairs = brute(r, 3, 4)
