@@ -108,16 +108,24 @@ def brute(rows):
     return {k: (n, m, s if m else None) for k, (n, m, s) in out.items()}
 
 
-@pytest.mark.parametrize("chunk, blocks", [(10, 3), (1_000_000, None)])
-def test_sums_against_a_loop(spark, chunk, blocks):
+@pytest.mark.parametrize("chunk, blocks, fan_in", [(10, 3, 32), (10, 2, 4), (1_000_000, None, 32)])
+def test_sums_against_a_loop(spark, chunk, blocks, fan_in):
     rng = random.Random(4)
     rows = [(k, rng.choice([1, 2, None]), rng.choice([0, None, rng.randrange(20), 2**62]), int(rng.paretovariate(0.5)) % 2**40, rng.choice([None, rng.randrange(-50, 50) / 4])) for k in range(500)]
     df = spark.createDataFrame(rows + rows[:50], ENTRIES)
-    got = heavy_keys.key_sums(df, chunk, blocks).collect()
+    got = heavy_keys.key_sums(df, chunk, blocks, fan_in).collect()
     assert {(r["axis"], r["file_id"], r["idx"]): (r["n"], r["n_v"], r["sum_v"]) for r in got} == brute(rows + rows[:50])
     assert len(got) == len(brute(rows + rows[:50]))
 
 
+def test_the_reduction_has_levels_of_bounded_fan_in(spark):
+    df = spark.range(4000).selectExpr("id as entry_id", "cast(1 as int) as file_id", "id % 50 as i", "id % 7 as j", "1.0D as v")
+    deep = heavy_keys.key_sums(df, 10, 1, 8)  # 400 chunks by eight: 400, 50, 7, 1
+    plan = deep._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("FlatMapGroupsInPandas") == 3
+    assert {(r["axis"], r["idx"]): (r["n"], r["sum_v"]) for r in deep.collect()} == {("row", k): (80, 80.0) for k in range(50)} | {("col", k): (n, float(n)) for k in range(7) for n in [4000 // 7 + (k < 4000 % 7)]}
+
+
 def test_heavy_keys(spark):
     rows = [(k, 1, 7 if k < 20 else k, None if k % 2 else 3, None) for k in range(1000)]
     got = {(r["axis"], r["file_id"], r["idx"], r["n"]) for r in heavy_keys.heavy_keys(spark.createDataFrame(rows, ENTRIES)).collect()}
