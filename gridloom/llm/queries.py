@@ -24,9 +24,15 @@ def p4_found(spark, d):
     return out.selectExpr("item_a as cell_a", "item_b as cell_b")
 
 
+def p4_blocked(spark, d):
+    """``p4_found`` with nets cut into chunks of about eight cells, so that most pairs come from pairs of chunks."""
+    out = together.pairs_together(table(spark, d, "pins"), min_count=12, min_lift=(6, 1), chunk_items=8)
+    return out.selectExpr("item_a as cell_a", "item_b as cell_b")
+
+
 def p4_pairs(spark, d):
-    """Every pair of cells that share a net."""
-    out = together.pairs_together(table(spark, d, "pins"))
+    """Every pair of a cell divisible by 50 and another one that share a net."""
+    out = together.pairs_together(table(spark, d, "pins"), every=50)
     return out.selectExpr("item_a as cell_a", "item_b as cell_b", "n_ab", "n_a", "n_b", "round(lift, 6) as lift")
 
 
@@ -72,7 +78,7 @@ def p8_share(spark, d):
     return spans.shared_share(docs, spans.shared_spans(docs, 200))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_groups, p4_found, p4_pairs, p5_found, p5_links, p6_ids, p6_decoded, p7_mixture, p7_shares, p8_found, p8_share)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_groups, p4_found, p4_blocked, p4_pairs, p5_found, p5_links, p6_ids, p6_decoded, p7_mixture, p7_shares, p8_found, p8_share)}
 
 _GROUPS = """
 WITH RECURSIVE half AS (SELECT DISTINCT least(i, j) AS a, greatest(i, j) AS b FROM pair_matches WHERE i IS NOT NULL AND j IS NOT NULL AND i <> j),
@@ -106,6 +112,7 @@ r AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM n),
 f AS (SELECT doc_id, min(p) AS span_start, max(p) + 200 AS span_end FROM r GROUP BY doc_id, run)
 """
 
+_P4 = _PAIRS + "SELECT cell_a, cell_b FROM s WHERE n_ab >= 12 AND n_ab * total >= 6 * n_a * n_b"
 SQL = {
     "p8_found": _SPANS + "SELECT doc_id, span_start, span_end FROM f",
     "p8_share": _SPANS + """, d AS (SELECT doc_id, max(coalesce(length(text), 0))::BIGINT AS n_chars FROM documents WHERE doc_id IS NOT NULL GROUP BY 1),
@@ -116,8 +123,9 @@ FROM d LEFT JOIN c USING (doc_id)""",
     "p2_found": _GROUPS + "SELECT id, group_id FROM g",
     "p2_groups": _GROUPS + """, r AS (SELECT id FROM vertices UNION SELECT i FROM pair_matches UNION SELECT j FROM pair_matches)
 SELECT r.id, coalesce(g.group_id, r.id) AS group_id FROM r LEFT JOIN g ON g.id = r.id WHERE r.id IS NOT NULL""",
-    "p4_found": _PAIRS + "SELECT cell_a, cell_b FROM s WHERE n_ab >= 12 AND n_ab * total >= 6 * n_a * n_b",
-    "p4_pairs": _PAIRS + "SELECT cell_a, cell_b, n_ab, n_a, n_b, round(n_ab::DOUBLE * total / (n_a::DOUBLE * n_b), 6) AS lift FROM s",
+    "p4_found": _P4,
+    "p4_blocked": _P4,
+    "p4_pairs": _PAIRS + "SELECT cell_a, cell_b, n_ab, n_a, n_b, round(n_ab::DOUBLE * total / (n_a::DOUBLE * n_b), 6) AS lift FROM s WHERE cell_a % 50 = 0 OR cell_b % 50 = 0",
     "p5_found": _SETS + "SELECT row_a, row_b FROM p",
     "p5_links": _SETS + """, w AS (SELECT i, list(c ORDER BY c) AS cols FROM s GROUP BY 1),
 d AS (SELECT cols, min(i) AS class_id FROM w GROUP BY 1), l AS (SELECT row_a AS i FROM p UNION ALL SELECT row_b FROM p),
