@@ -4,13 +4,13 @@ The number of uses that a source's texts need on average is cut into a whole
 part, which every text gets, and a fraction. Fractions are rounded by pivotal
 sampling: of two texts one gives mass, measured in tokens, to the other until
 one of the two is whole, in a random direction that leaves both expectations as
-they were. Each bucket of texts ends with at most one fraction; those of all
-buckets meet in the next level of a reduction tree.
+they were. The texts of a bucket meet in the rounds of a tournament, which ends with
+at most one fraction; those of all buckets meet in the next level of a reduction
+tree.
 """
 
 from __future__ import annotations
 
-import math
 from functools import reduce
 
 import numpy as np
@@ -22,28 +22,50 @@ from gridloom.llm.tokens import count_tokens
 from gridloom.runtime import Scratch
 
 _NEAR = 1e-9
+#: So many of the smallest texts of a bucket come last.
+_SMALL = 16
+
+
+def _transfer(p: np.ndarray, size: np.ndarray, a: np.ndarray, b: np.ndarray, draws: np.ndarray) -> None:
+    """Move mass between the fractions at ``a`` and those at ``b``, pair by pair, until one of each two is whole."""
+    up = np.minimum((1 - p[a]) * size[a], p[b] * size[b])
+    down = np.minimum(p[a] * size[a], (1 - p[b]) * size[b])
+    mass = np.where(draws * (up + down) < down, up, -down)
+    p[a] += mass / size[a]
+    p[b] -= mass / size[b]
+    _snap(p)
+
+
+def _snap(p: np.ndarray) -> None:
+    p[p <= _NEAR] = 0.0
+    p[p >= 1 - _NEAR] = 1.0
+
+
+def _open(p: np.ndarray, among: np.ndarray) -> np.ndarray:
+    return among[(p[among] > 0) & (p[among] < 1)]
 
 
 def pivot(p: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """Round all but at most one of ``p``, keeping sum(p * size) and every expectation."""
-    p, draws = p.astype(np.float64).copy(), rng.random(len(p))
-    held = -1
-    for k in range(len(p)):
-        if p[k] <= _NEAR or p[k] >= 1 - _NEAR:
-            p[k] = round(p[k])
-            continue
-        if held < 0:
-            held = k
-            continue
-        up = min((1 - p[held]) * size[held], p[k] * size[k])
-        down = min(p[held] * size[held], (1 - p[k]) * size[k])
-        mass = up if draws[k] * (up + down) < down else -down
-        p[held] += mass / size[held]
-        p[k] -= mass / size[k]
-        for x in (held, k):
-            if p[x] <= _NEAR or p[x] >= 1 - _NEAR:
-                p[x] = round(p[x])
-        held = next((x for x in (held, k) if 0 < p[x] < 1), -1)
+    """Round all but at most one of ``p``, keeping sum(p * size) and every expectation.
+
+    Fractions meet in pairs, and what is left of each pair meets in the next round of the tournament. The last _SMALL of
+    ``p`` wait for the one that is left of the others and meet it one by one, so that the fraction that stays is one of them.
+    """
+    p = p.astype(np.float64).copy()
+    _snap(p)
+    left = _open(p, np.arange(len(p)))
+    left, small = left[: max(0, len(left) - _SMALL)], left[max(0, len(left) - _SMALL) :]
+    while len(left) > 1:
+        a, b = left[: len(left) // 2 * 2 : 2], left[1::2]
+        _transfer(p, size, a, b, rng.random(len(a)))
+        left = _open(p, left)
+    for k in small:
+        if len(left):
+            both = np.array([left[0], k])
+            _transfer(p, size, both[:1], both[1:], rng.random(1))
+            left = _open(p, both)
+        else:
+            left = np.array([k])
     return p
 
 
@@ -138,8 +160,3 @@ def expand(mixture: DataFrame, documents: DataFrame) -> DataFrame:
     uses = mixture.select("doc_id", "source", F.explode(F.sequence(F.lit(1), "copies")).alias("copy"))
     texts = documents.groupBy("doc_id").agg(F.min("text").alias("text"))
     return uses.join(texts, "doc_id").select("doc_id", "copy", "source", "text")
-
-
-def levels_needed(n: int, bucket_items: int) -> int:
-    """The depth of the reduction tree over n fractions."""
-    return 1 if n <= bucket_items else 1 + levels_needed(math.ceil(n / bucket_items), bucket_items)

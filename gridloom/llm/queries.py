@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
 from gridloom.llm import groups, mixture, similar, spans, together, tokens
 from gridloom.sources.tables import table
 
@@ -67,6 +70,23 @@ def p7_shares(spark, d):
     return mixture.mix_sources(table(spark, d, "documents"), table(spark, d, "mix_targets"), tokens.tokenizer_path(VOCABULARY))[1]
 
 
+def p7_valid(spark, d):
+    """What must hold of the mixture, source by source, recomputed from its rows: caps, single use of a text, the aim within one text, the share reported."""
+    docs, targets = table(spark, d, "documents"), table(spark, d, "mix_targets")
+    mix, shares = mixture.mix_sources(docs, targets, tokens.tokenizer_path(VOCABULARY))
+    held = docs.where("text is not null").select("doc_id", F.md5("text").alias("digest"))
+    used = mix.join(held, "doc_id").groupBy("source").agg(
+        F.count("*").alias("rows"), F.countDistinct("digest").alias("texts"), F.sum(F.col("n_tokens") * F.col("copies")).alias("own"), F.max("copies").alias("most"), F.max("n_tokens").alias("longest")
+    )
+    everything = Window.partitionBy()  # one row a target
+    full = shares.join(used, "source", "left").fillna(0, ["rows", "texts", "own", "most", "longest"])
+    full = full.withColumn("total", F.sum("own").over(everything)).withColumn("longest", F.max("longest").over(everything))
+    return full.select(
+        "source", "n_texts", F.round("aim", 9).alias("aim"), (F.col("most") <= F.col("max_repeats")).alias("capped"), (F.col("rows") == F.col("texts")).alias("once"),
+        (F.abs(F.col("own") - F.col("aim") * F.col("total")) <= 2 * F.col("longest")).alias("near"), (F.abs(F.col("actual_share") - F.col("own") / F.col("total")) < 1e-9).alias("reported"),
+    )
+
+
 def p8_found(spark, d):
     """The stretches of at least 200 code points that stand in another text too."""
     return spans.shared_spans(table(spark, d, "documents"), 200)
@@ -78,7 +98,7 @@ def p8_share(spark, d):
     return spans.shared_share(docs, spans.shared_spans(docs, 200))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_groups, p4_found, p4_blocked, p4_pairs, p5_found, p5_links, p6_ids, p6_decoded, p7_mixture, p7_shares, p8_found, p8_share)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_groups, p4_found, p4_blocked, p4_pairs, p5_found, p5_links, p6_ids, p6_decoded, p7_mixture, p7_shares, p7_valid, p8_found, p8_share)}
 
 _GROUPS = """
 WITH RECURSIVE half AS (SELECT DISTINCT least(i, j) AS a, greatest(i, j) AS b FROM pair_matches WHERE i IS NOT NULL AND j IS NOT NULL AND i <> j),
@@ -114,6 +134,11 @@ f AS (SELECT doc_id, min(p) AS span_start, max(p) + 200 AS span_end FROM r GROUP
 
 _P4 = _PAIRS + "SELECT cell_a, cell_b FROM s WHERE n_ab >= 12 AND n_ab * total >= 6 * n_a * n_b"
 SQL = {
+    "p7_valid": """
+WITH d AS (SELECT arg_min(source, doc_id) AS source FROM documents SEMI JOIN mix_targets USING (source) WHERE text <> '' AND doc_id IS NOT NULL GROUP BY text),
+n AS (SELECT source, count(*) AS n_texts FROM d GROUP BY 1),
+t AS (SELECT source, target_share, coalesce(n_texts, 0) AS n_texts FROM mix_targets LEFT JOIN n USING (source))
+SELECT source, n_texts, round(CASE WHEN n_texts > 0 THEN target_share / (SELECT sum(target_share) FROM t WHERE n_texts > 0) ELSE 0.0 END, 9) AS aim, true AS capped, true AS once, true AS near, true AS reported FROM t""",
     "p8_found": _SPANS + "SELECT doc_id, span_start, span_end FROM f",
     "p8_share": _SPANS + """, d AS (SELECT doc_id, max(coalesce(length(text), 0))::BIGINT AS n_chars FROM documents WHERE doc_id IS NOT NULL GROUP BY 1),
 c AS (SELECT doc_id, count(*) AS n_spans, sum(span_end - span_start)::BIGINT AS shared_chars FROM f GROUP BY 1)

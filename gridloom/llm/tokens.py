@@ -25,6 +25,9 @@ from gridloom.runtime import Scratch
 #: Fixed value: the pattern that splits a text into words before the merges.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+#: So many blocks, a few MB each, are laid out by one task.
+_TASK_BLOCKS = 2
+
 _BLOCKS = "block bigint, doc_ids array<bigint>, lens array<int>, codes binary, words array<{}>"
 
 
@@ -126,18 +129,25 @@ def _lay_counts(words: pa.Table, blocks: pa.Table) -> pa.Table:
     return pa.table({"doc_id": doc_ids, "n_tokens": pa.array(np.diff(ends), pa.int64())})
 
 
+def _lay_out(coded: DataFrame, blocks: DataFrame, count: int, lay, schema: str) -> DataFrame:
+    """``lay`` of the elements (of, code, ...) of each block and the block, over as many tasks as there are blocks for."""
+    tasks = max(1, -(-count // _TASK_BLOCKS))
+    there = blocks.select("block", "doc_ids", "lens", "codes").repartition(tasks, "block")
+    return coded.repartition(tasks, "of").groupBy("of").cogroup(there.groupBy("block")).applyInArrow(lay, schema)
+
+
 def _by_words(documents: DataFrame, path: str, block_words: int, counts: bool) -> DataFrame:
     if not path.endswith(".tiktoken"):
         raise ValueError(f"{path} is no file of byte-level ranks")
     scratch = Scratch(documents.sparkSession, "tokens")
-    blocks = scratch.write(_blocks(_split(documents), "string", block_words))
+    blocks, count = scratch.write_counted(_blocks(_split(documents), "string", block_words))
     words = blocks.select("block", F.posexplode("words").alias("code", "word"))
     table = _encode_words(words.select("word").distinct(), path)
     if counts:
         table = table.select("word", F.size("ids").alias("n"))
     coded = words.join(table, "word").drop("word").withColumnRenamed("block", "of")
     lay, schema = (_lay_counts, "doc_id bigint, n_tokens bigint") if counts else (_lay_ids, "doc_id bigint, ids array<int>")
-    return coded.withColumn("of", F.col("of") + 0).groupBy("of").cogroup(blocks.select("block", "doc_ids", "lens", "codes").groupBy("block")).applyInArrow(lay, schema)
+    return _lay_out(coded.withColumn("of", F.col("of") + 0), blocks, count, lay, schema)
 
 
 def encode_corpus(documents: DataFrame, path: str, block_words: int = 400_000) -> DataFrame:
@@ -148,7 +158,8 @@ def encode_corpus(documents: DataFrame, path: str, block_words: int = 400_000) -
     Other columns are ignored. An empty table gives no rows.
 
     ``path`` is read on every executor. A block holds about ``block_words`` words, or one text if that has more. What is
-    shuffled is each block's list of distinct words, not its words.
+    shuffled is each block's list of distinct words, not its words. The number of tasks that lay out blocks follows from
+    their number, so a task reads a few MB however large the corpus is.
     """
     return _by_words(documents, path, block_words, counts=False)
 
@@ -184,8 +195,8 @@ def decode_corpus(encoded: DataFrame, pieces: DataFrame, block_ids: int = 400_00
     become U+FFFD. Each block of rows brings its distinct ids to the join and lays the pieces out by position.
     """
     lists = encoded.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.filter("ids", lambda x: x.isNotNull()), F.array().cast("array<int>")).alias("w"))
-    blocks = Scratch(encoded.sparkSession, "pieces").write(_blocks(lists, "int", block_ids))
+    blocks, count = Scratch(encoded.sparkSession, "pieces").write_counted(_blocks(lists, "int", block_ids))
     used = blocks.select("block", F.posexplode("words").alias("code", "id"))
     used = used.join(pieces.select("id", "piece"), "id", "left").select((F.col("block") + 0).alias("of"), "code", F.coalesce("piece", F.lit(b"")).alias("piece"))
-    laid = used.groupBy("of").cogroup(blocks.select("block", "doc_ids", "lens", "codes").groupBy("block")).applyInArrow(_lay_bytes, "doc_id bigint, bytes binary")
+    laid = _lay_out(used, blocks, count, _lay_bytes, "doc_id bigint, bytes binary")
     return laid.select("doc_id", F.make_valid_utf8(F.col("bytes").cast("string")).alias("text"))
