@@ -13,7 +13,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 _open: list["Scratch"] = []
@@ -49,13 +49,18 @@ class Scratch:
 
     def write_counted(self, df: DataFrame, compression: str = "zstd") -> tuple[DataFrame, int]:
         """``write``, with the number of rows, which the write itself counts."""
+        out, seen = self.write_observed(df, {"n": F.count(F.lit(1))}, compression)
+        return out, seen["n"]
+
+    def write_observed(self, df: DataFrame, metrics: dict[str, Column], compression: str = "zstd") -> tuple[DataFrame, dict]:
+        """``write``, with the aggregates ``metrics``, which the write itself computes."""
         at = f"{self.path}/{self._n}"
         self._n += 1
         seen = Observation()
-        df.observe(seen, F.count(F.lit(1)).alias("n")).write.option("compression", compression).parquet(at)
+        df.observe(seen, *(c.alias(k) for k, c in metrics.items())).write.option("compression", compression).parquet(at)
         out = self.spark.read.schema(df.schema).parquet(at)
         out._gridloom_at = at
-        return out, seen.get["n"]
+        return out, seen.get
 
     def folder(self) -> str:
         """The scratch folder, made if need be, for files of other kinds."""
