@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from gridloom.errors import FeatureError, FeatureParamsError
 from gridloom.functions.columns import block_of
 from gridloom.model import Sparse2D, degrees_of
+from gridloom.operators import triangles
 from gridloom.runtime import Scratch
 
 
@@ -118,63 +119,35 @@ def scalars(m: Sparse2D, names: Iterable[str], params: dict[str, dict] | None =
     return out.select(*names)
 
 
-def _narrow(c: str, n: int) -> Column:
-    """Ids in lists take four bytes where they fit."""
-    return F.col(c).cast("int") if n < 2**31 else F.col(c)
-
-
-def _adjacency(up: DataFrame, n: int) -> DataFrame:
-    return up.groupBy("u").agg(F.collect_list(_narrow("v", n)).alias("adj"))
-
-
 def triangle_count(m: Sparse2D, directed: bool = False) -> DataFrame:
     """(triangles): undirected triangles of the symmetrised pattern, or directed 3-cycles, each orientation once.
 
-    Self loops and repeated edges do not count. Undirected edges are directed from the end of lower (degree, id), which
-    bounds every list by the square root of twice the number of edges, hubs included; a triangle is a common
-    out-neighbour of an edge's ends.
+    Self loops and repeated edges do not count.
     """
-    if directed:
-        e = m.nz.where("i <> j").select("i", "j").distinct()
-        first = e.where("i < j").select(F.col("i").alias("a"), F.col("j").alias("b"))
-        second = e.select(F.col("i").alias("b"), F.col("j").alias("c"))
-        third = e.where("i > j").select(F.col("i").alias("c"), F.col("j").alias("a"))
-        two = first.join(second, "b").where("a < c")
-        return two.join(third, ["a", "c"], "left_semi").agg(F.count("*").alias("triangles"))
-    up = _oriented(m)
-    lists = _adjacency(up, max(m.dimensions))
-    ends = up.join(lists.withColumnRenamed("adj", "adj_u"), "u").join(lists.select(F.col("u").alias("v"), F.col("adj").alias("adj_v")), "v")
-    return ends.agg(F.coalesce(F.sum(F.size(F.array_intersect("adj_u", "adj_v"))), F.lit(0)).cast("bigint").alias("triangles"))
-
-
-def _oriented(m: Sparse2D) -> DataFrame:
-    """(u, v): each undirected edge once, from its end of lower (degree, id)."""
-    scratch = Scratch(m.spark, "edges")
-    half = scratch.write(m.nz.where("i <> j").select(F.least("i", "j").alias("u"), F.greatest("i", "j").alias("v")).distinct())
-    deg = half.select(F.explode(F.array("u", "v")).alias("x")).groupBy("x").agg(F.count("*").alias("d"))
-    both = half.join(deg.select(F.col("x").alias("u"), F.col("d").alias("du")), "u").join(deg.select(F.col("x").alias("v"), F.col("d").alias("dv")), "v")
-    swap = F.col("du") > F.col("dv")
-    turned = both.select(F.when(swap, F.col("v")).otherwise(F.col("u")).alias("u"), F.when(swap, F.col("u")).otherwise(F.col("v")).alias("v"))
-    return scratch.write(turned)
+    return triangles.count(m, directed)
 
 
 def jaccard_weights(m: Sparse2D) -> DataFrame:
     """(i, j, weight) of every stored edge: common neighbours / all neighbours of its two ends, by stored rows.
 
-    Each unordered pair is computed once and given to the stored edges of either direction; degree(i) + degree(j)
-    counts stored non-zeros, as in the rows. Adjacency lists must fit one row of the table.
+    Common neighbours come from the listing of triangles and from self loops; degree(i) + degree(j) counts stored
+    non-zeros, as in the rows. A self loop has all neighbours in common with itself.
     """
-    nz = Scratch(m.spark, "edges").write(m.nz.select("i", "j"))  # read three times
-    rows = nz.groupBy("i").agg(F.collect_list(_narrow("j", m.n_cols)).alias("adj"))
-    half = nz.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).distinct()
-    side = lambda s: rows.select(F.col("i").alias(s), F.col("adj").alias(f"adj_{s}"))
-    ends = half.join(side("a"), "a", "left").join(side("b"), "b", "left")
-    c = F.coalesce(F.size(F.array_intersect("adj_a", "adj_b")), F.lit(0))
-    c = F.when(F.col("adj_a").isNull() | F.col("adj_b").isNull(), 0).otherwise(c)
-    d = lambda s: F.when(F.col(f"adj_{s}").isNull(), 0).otherwise(F.size(f"adj_{s}"))
-    w = ends.select("a", "b", F.when(c > 0, c / (d("a") + d("b") - c)).otherwise(0.0).alias("weight"))
-    keyed = nz.select("i", "j", F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"))
-    return keyed.join(w, ["a", "b"]).select("i", "j", "weight")
+    scratch = Scratch(m.spark, "edges")
+    nz = scratch.write(m.nz.select("i", "j"))  # read several times
+    deg = nz.groupBy("i").agg(F.count("*").alias("d"), F.max(F.col("i") == F.col("j")).alias("loop"))
+    end = lambda s: deg.select(F.col("i").alias(s), F.col("d").alias(f"d_{s}"), F.col("loop").alias(f"loop_{s}"))
+    a, b = F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")
+    pairs = nz.groupBy(a, b).agg(F.max(F.col("i") < F.col("j")).alias("up"), F.max(F.col("i") > F.col("j")).alias("down"))
+    full = pairs.join(triangles.common_neighbours(Sparse2D(nz, *m.dimensions)), ["a", "b"], "left").join(end("a"), "a", "left").join(end("b"), "b", "left")
+    one = lambda x: F.coalesce(x, F.lit(False)).cast("int")
+    c = F.coalesce("c", F.lit(0)) + one(F.col("loop_a") & F.col("down")) + one(F.col("loop_b") & F.col("up"))
+    d = F.coalesce("d_a", F.lit(0)) + F.coalesce("d_b", F.lit(0))
+    w = full.withColumn("c", c).select("a", "b", F.when(F.col("c") > 0, F.col("c") / (d - F.col("c"))).otherwise(0.0).alias("weight"))
+    loops = nz.where("i = j").select("i").distinct().join(nz, "i").groupBy("i").agg(F.countDistinct("j").alias("c"), F.count("*").alias("d"))
+    same = loops.select(F.col("i").alias("a"), F.col("i").alias("b"), (F.col("c") / (2 * F.col("d") - F.col("c"))).alias("weight"))
+    keyed = nz.select("i", "j", a, b)
+    return keyed.join(w.where("a < b").union(same), ["a", "b"]).select("i", "j", "weight")
 
 
 #: Users' own features: name to a function of the matrix and the feature's parameters that gives a table.

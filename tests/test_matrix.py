@@ -1,6 +1,8 @@
 import math
 import statistics
 
+import random
+
 import pytest
 from helpers import A, B_COL, B_PTR, build, from_csr
 
@@ -156,3 +158,19 @@ def test_objects(spark):
     with pytest.raises(InvalidDataMemberError):
         build(spark, from_csr(B_PTR, B_COL), 7).values()
     assert math.isclose(build(spark, A, 3).nnz(), 4)
+
+
+@pytest.mark.parametrize("seed, n, m", [(1, 12, 40), (2, 40, 300), (3, 30, 25)])
+def test_triangles_and_jaccard_against_loops(spark, seed, n, m):
+    rng = random.Random(seed)
+    rows = [(rng.randrange(n), int(rng.paretovariate(0.8)) % n) for _ in range(m)]
+    e = set(rows) - {(i, i) for i in range(n)}
+    near = {i: {j for j in range(n) if (i, j) in e or (j, i) in e} for i in range(n)}
+    und = sum(1 for a in range(n) for b in near[a] for c in near[a] & near[b] if a < b < c)
+    cycles = sum(1 for a in range(n) for b in range(a + 1, n) for c in range(b + 1, n) for x, y, z in ((a, b, c), (a, c, b)) if {(x, y), (y, z), (z, x)} <= e)
+    g = build(spark, rows + rows[:3], n)
+    assert features.triangle_count(g).first()[0] == und and features.triangle_count(g, directed=True).first()[0] == cycles
+    own = {i: {j for x, j in rows if x == i} for i in range(n)}
+    d = {i: sum(x == i for x, _ in rows + rows[:3]) for i in range(n)}
+    want = sorted((i, j, (c := len(own[i] & own[j])) / (d[i] + d[j] - c) if own[i] & own[j] else 0.0) for i, j in rows + rows[:3])
+    assert sorted(map(tuple, features.jaccard_weights(g).collect())) == want
