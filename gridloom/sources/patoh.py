@@ -37,7 +37,11 @@ def read_patoh(spark: SparkSession, path: str) -> HyperGraph:
 
 
 def write_patoh(h: HyperGraph, path: str, base: int | None = None, single: bool = False) -> None:
-    """Write ``h`` with the weights it has. A net without pins is an empty line, which the form cannot hold without net weights."""
+    """Write ``h`` with the weights it has; those of cells may be arrays of several constraints, all of one length.
+
+    A net without pins is an empty line, which the form cannot hold without net weights. A cell without weights has 0. All
+    cell weights are one line by the form of the file and pass through one row, which holds some 200 million of them.
+    """
     spark, base = h.pins.sparkSession, h.base if base is None else base
     own = h.pins.groupBy("net").agg(F.array_sort(F.collect_list(F.col("cell") + base)).alias("s"))
     full = spark.range(h.n_nets).select(F.col("id").alias("net")).join(own, "net", "left")
@@ -49,9 +53,20 @@ def write_patoh(h: HyperGraph, path: str, base: int | None = None, single: bool
         text.insert(0, F.col("w").cast("string"))
     body = full.select("net", F.trim(F.concat_ws(" ", *text)).alias("value"))
     scheme = (1 if h.cell_weights is not None else 0) + (2 if h.net_weights is not None else 0)
-    header = f"{base} {h.n_cells} {h.n_nets} {h.pins.count()}" + (f" {scheme}" if scheme else "")
+    header, constraints = f"{base} {h.n_cells} {h.n_nets} {h.pins.count()}" + (f" {scheme}" if scheme else ""), 1
+    weights = h.cell_weights
+    if weights is not None and dict(weights.dtypes)["w"].startswith("array"):
+        sizes = weights.agg(F.min(F.size("w")).alias("least"), F.max(F.size("w")).alias("most")).first()
+        constraints = sizes["most"] or 1
+        if sizes["least"] != sizes["most"]:
+            raise WriterError("cells have different numbers of weights")
+        header += f" {constraints}"
+    elif weights is not None:
+        weights = weights.select("cell", F.array("w").alias("w"))
     body = spark.createDataFrame([(-1, header)], "net bigint, value string").unionByName(body)
-    if h.cell_weights is not None:  # one line by the form of the file: it must fit one row
-        weights = h.cell_weights.agg(F.transform(F.array_sort(F.collect_list(F.struct("cell", "w"))), lambda x: x["w"].cast("string")).alias("s"))
-        body = body.unionByName(weights.select(F.lit(h.n_nets).cast("bigint").alias("net"), F.array_join("s", " ").alias("value")))
+    if weights is not None:
+        none = F.array_repeat(F.lit("0"), constraints)
+        each = spark.range(h.n_cells).select(F.col("id").alias("cell")).join(weights, "cell", "left").select("cell", F.coalesce(F.col("w").cast("array<string>"), none).alias("w"))
+        line = each.agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("cell", "w"))), lambda x: x["w"])).alias("s"))
+        body = body.unionByName(line.select(F.lit(h.n_nets).cast("bigint").alias("net"), F.array_join("s", " ").alias("value")))
     write_lines(body, ["net"], path, single)
