@@ -54,10 +54,6 @@ def breadth_first(edges: DataFrame, roots: DataFrame, keys: list[str], scratch:
         before, at = at, new
 
 
-def degrees_uv(edges: DataFrame) -> DataFrame:
-    return edges.groupBy("u").agg(F.count("*").alias("d"))
-
-
 def running_offset(sizes: DataFrame, order: list[Column | str], scratch: Scratch) -> DataFrame:
     """``sizes`` with ``offset``, the sum of ``size`` over the rows before, in ``order``. One row for each component.
 

@@ -15,7 +15,7 @@ from gridloom.model import Sparse2D, degrees_of
 from gridloom.operators.graphs import breadth_first, components, running_offset
 from gridloom.operators.in_task import rcm_places, slashburn_places
 from gridloom.operators.ranking import rank_all
-from gridloom.runtime import Scratch, shuffle_width
+from gridloom.runtime import Scratch
 
 #: Up to so many stored edges, some 100 MB, a component or graph is ordered within one task.
 TASK_EDGES = 2_000_000
@@ -86,8 +86,8 @@ def gray_order(m: Sparse2D, resolution: int = 16, nnz_threshold: int = 10, group
 
 
 def _rcm_small(edges: DataFrame, comps: DataFrame) -> DataFrame:
-    """(id, comp, place) of components that fit a task; many of them share one."""
-    owned = edges.join(comps.withColumnRenamed("id", "u"), "u").withColumn("bucket", F.pmod(F.xxhash64("comp"), F.lit(4 * shuffle_width(edges.sparkSession))))
+    """(id, comp, place) of components that fit a task, by (id, comp, bucket); those of one bucket share a task."""
+    owned = edges.join(comps.withColumnRenamed("id", "u"), "u")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         ids, comp, place = rcm_places(pdf["u"].to_numpy(), pdf["v"].to_numpy(), pdf["comp"].to_numpy())
@@ -124,8 +124,8 @@ def rcm_order(m: Sparse2D, task_edges: int = TASK_EDGES) -> DataFrame:
     grows, or until the component is a path. From there vertices are queued by (place of the vertex that reached them,
     degree, id); a component's queue is reversed. Components stand by their smallest id, isolated vertices with them.
 
-    Components of up to ``task_edges`` stored edges are ordered within tasks, larger ones together by distributed steps, a
-    level at a time. Both give the same order.
+    Components of up to ``task_edges`` stored edges are ordered within tasks, so many to a task that their edges come to
+    that number; larger ones are ordered together by distributed steps, a level at a time. Both give the same order.
     """
     scratch, n = Scratch(m.spark, "rcm"), max(m.n_rows, m.n_cols)
     edges = scratch.write(m.symmetrised())
@@ -135,8 +135,9 @@ def rcm_order(m: Sparse2D, task_edges: int = TASK_EDGES) -> DataFrame:
     sizes = scratch.write(sizes)
     offsets = running_offset(sizes, ["comp"], scratch).select("comp", "size", "edges", "offset")
     alone = comps.join(offsets.where("size = 1"), "comp").select("id", F.col("offset").cast("bigint").alias("pos"))
-    small = comps.join(sizes.where((F.col("size") > 1) & (F.col("edges") <= task_edges)).select("comp"), "comp", "left_semi")
-    places = _rcm_small(edges, small.select("id", "comp"))
+    fits = sizes.where((F.col("size") > 1) & (F.col("edges") <= task_edges)).select("comp", F.col("edges").alias("size"))
+    buckets = running_offset(fits, ["comp"], scratch).select("comp", F.floor(F.col("offset") / max(task_edges, 1)).alias("bucket"))
+    places = _rcm_small(edges, comps.join(buckets, "comp").select("id", "comp", "bucket"))
     large, count = scratch.write_counted(sizes.where((F.col("size") > 1) & (F.col("edges") > task_edges)).select("comp", "size"))
     if count:
         places = places.union(_rcm_large(edges, large, scratch))

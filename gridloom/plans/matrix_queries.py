@@ -251,11 +251,48 @@ def gray_reorder(spark, d):
     return reorder.reorder("gray", part_supplier(spark, d), resolution=32, nnz_threshold=26, group_size=3)
 
 
-@query()
+def _rcm_sql(searches: int) -> str:
+    """The order as a queue would give it, with so many searches for the far end of each component."""
+
+    def walk(name: str, roots: str, by: str) -> str:
+        return f"""{name}(id, c, lev, ord) USING KEY (id) AS (
+  SELECT root, c, 0, row_number() OVER (ORDER BY c) FROM {roots}
+  UNION
+  SELECT v, c, lev + 1, row_number() OVER (ORDER BY parent, {by} v) FROM (
+    SELECT e.v, min(x.c) AS c, min(x.lev) AS lev, min(x.ord) AS parent FROM {name} x JOIN m2 e ON e.u = x.id LEFT JOIN recurring.{name} r ON r.id = e.v WHERE r.id IS NULL GROUP BY e.v)
+  {"JOIN dr ON dr.id = v" if by else ""})"""
+
+    steps = []
+    for k in range(searches):
+        steps.append(walk(f"b{k}", f"s{k}", ""))
+        steps.append(f"""f{k} AS (SELECT c, max(lev) AS top, arg_min(b{k}.id, (-lev, degree, ord)) AS far FROM b{k} JOIN dr ON dr.id = b{k}.id GROUP BY c),
+s{k + 1} AS (SELECT c, CASE WHEN going AND top > most AND size <> top + 1 THEN far ELSE root END AS root, greatest(most, top) AS most, going AND top > most AND size <> top + 1 AS going, size FROM s{k} JOIN f{k} USING (c))""")
+    return _CP.replace("WITH h", "WITH RECURSIVE h") + f""", m2 AS (SELECT i AS u, j AS v FROM m),
+g(id, c) USING KEY (id) AS (
+  SELECT u, least(u, min(v)) FROM m2 GROUP BY u
+  UNION
+  SELECT e.v, min(g.c) FROM g JOIN m2 e ON e.u = g.id JOIN recurring.g h ON h.id = e.v WHERE g.c < h.c GROUP BY e.v),
+comps AS (SELECT ids.id, coalesce(g.c, ids.id) AS c FROM ids LEFT JOIN g ON g.id = ids.id),
+sizes AS (SELECT c, count(*) AS size FROM comps GROUP BY 1),
+offs AS (SELECT c, size, sum(size) OVER (ORDER BY c) - size AS start FROM sizes),
+s0 AS (SELECT c, c AS root, 0 AS most, true AS going, size FROM sizes),
+{", ".join(steps)},
+{walk("q", f"s{searches}", "degree,")},
+w AS (SELECT id, c, row_number() OVER (PARTITION BY c ORDER BY lev, ord) AS nth FROM q)
+SELECT id, (start + size - nth)::BIGINT AS pos FROM w JOIN offs USING (c)"""
+
+
+@query(_rcm_sql(6))
 def rcm_reorder(spark, d):
     return reorder.reorder("rcm", co_purchase(spark, d))
 
 
+@query(_rcm_sql(6))
+def rcm_by_levels(spark, d):
+    """The same order by distributed steps alone."""
+    return reorder.rcm_order(co_purchase(spark, d), task_edges=0)
+
+
 @query()
 def slashburn_reorder(spark, d):
     m = co_purchase(spark, d)
