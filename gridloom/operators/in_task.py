@@ -176,3 +176,70 @@ def dissection_places(u: np.ndarray, v: np.ndarray, leaf: int) -> tuple[np.ndarr
             inside = (part[u] == p) & (part[v] == p)
             todo.append((own[part == p], own[u[inside]], own[v[inside]], p == 2))
     return ids[np.concatenate(out)[::-1]], np.arange(len(ids))
+
+
+def _pulls(part: np.ndarray, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """By how much less weight would be cut if each vertex changed sides."""
+    return np.bincount(u, weights=np.where(part[u] != part[v], w, -w), minlength=len(part))
+
+
+def _bisect(vw: np.ndarray, u: np.ndarray, v: np.ndarray, w: np.ndarray, share: float, slack: float) -> np.ndarray:
+    """0 or 1 for each vertex: a breadth-first order cut where the first side has ``share`` of the weight, then batches of moves and exchanges while the cut falls."""
+    n = len(vw)
+    adj = Adjacency(u, v, n)
+    seen = np.zeros(n, bool)
+    far = np.zeros(n, bool)
+    queue: list[np.ndarray] = []
+    for r in range(n):
+        if not seen[r]:
+            reached = walk(adj, np.array([r]), seen)[0]
+            queue.append(walk(adj, reached[-1:], far)[0])
+    order = np.concatenate(queue)
+    total = vw.sum()
+    part = np.ones(n, np.int64)
+    part[order[np.cumsum(vw[order]) - vw[order] / 2 <= total * share]] = 0
+    most = np.array([total * share * slack + vw.max() / 2, total * (1 - share) * slack + vw.max() / 2])
+    batch = max(1, n // 20)
+    cut = w[part[u] != part[v]].sum()
+    while batch:
+        gain = _pulls(part, u, v, w)
+        sides = [np.flatnonzero(part == s) for s in (0, 1)]
+        tops = [x[np.argsort(-gain[x], kind="stable")][:batch] for x in sides]
+        k = min(map(len, tops))
+        swaps = np.concatenate([x[:k] for x in tops])
+        tries = [swaps] + [x[gain[x] > 0] for x in tops]
+        better = None
+        for t in tries:
+            new = part.copy()
+            new[t] = 1 - new[t]
+            size = np.bincount(new, weights=vw, minlength=2)
+            if len(t) and (size <= most).all():
+                now = w[new[u] != new[v]].sum()
+                if now < cut * (1 - 5e-4) and (better is None or now < better[0]):
+                    better = now, new
+        if better is None:
+            batch //= 2
+        else:
+            cut, part = better
+    return part
+
+
+def grow_parts(ids: np.ndarray, vw: np.ndarray, u: np.ndarray, v: np.ndarray, w: np.ndarray, parts: int, balance: float) -> tuple[np.ndarray, np.ndarray]:
+    """(id, part) of a weighted graph by halving it again and again; each side gets its share of the number of parts."""
+    order = np.argsort(ids)
+    ids, vw = ids[order], vw[order].astype(np.float64)
+    u, v, w = np.searchsorted(ids, u), np.searchsorted(ids, v), w.astype(np.float64)
+    part = np.zeros(len(ids), np.int32)
+    slack = balance ** (1 / max(1, (parts - 1).bit_length()))
+    todo = [(np.arange(len(ids)), 0, parts)]
+    while todo:
+        own, first, k = todo.pop()
+        part[own] = first
+        if k == 1 or len(own) < 2:
+            continue
+        inside = np.zeros(len(ids), bool)
+        inside[own] = True
+        e = inside[u] & inside[v]
+        side = _bisect(vw[own], np.searchsorted(own, u[e]), np.searchsorted(own, v[e]), w[e], (k // 2) / k, slack)
+        todo += [(own[side == 0], first, k // 2), (own[side == 1], first + k // 2, k - k // 2)]
+    return ids, part

@@ -4,6 +4,7 @@ import pytest
 from helpers import A, B_COL, B_PTR, as_list, build, from_csr, plain_rcm, plain_slashburn
 
 from gridloom.errors import FunctionNotFoundError, ReorderError
+from gridloom.model import HyperGraph
 from gridloom.operators import features, partition, permute, reorder
 
 
@@ -152,9 +153,9 @@ def test_registry(spark):
 def test_heuristic_orders_and_partitions(spark):
     e = random_graph(7, 60, 150)
     m = build(spark, e, 60)
-    for order in (partition.minimum_degree_order(m, 3), partition.dissection_order(m, 2), partition.community_order(m, 2)):
+    for order in (partition.minimum_degree_order(m, 3), partition.dissection_order(m, 2), partition.community_order(m)):
         assert is_order(order, 60)
-    for parts in (partition.label_partition(m, 4), partition.multilevel_partition(m, 4), partition.multilevel_partition(m, 4, "rb", rounds=2)):
+    for parts in (partition.label_partition(m, 4), partition.multilevel_partition(m, 4), partition.multilevel_partition(m, 4, "rb", coarse=8)):
         rows = parts.collect()
         assert sorted(r["id"] for r in rows) == list(range(60)) and {r["part"] for r in rows} <= set(range(4))
         assert partition.partition_quality(m, parts).first()["largest"] <= 17
@@ -162,13 +163,74 @@ def test_heuristic_orders_and_partitions(spark):
         partition.label_partition(m, 0)
 
 
-def test_label_propagation_finds_two_cliques(spark):
-    clique = lambda ids: [(i, j) for i in ids for j in ids if i != j]
-    even, odd = list(range(0, 20, 2)), list(range(1, 20, 2))
-    m = build(spark, clique(even) + clique(odd) + [(0, 1), (1, 0)], 20)
-    q = partition.partition_quality(m, partition.label_partition(m, 2, vert_balance=1.5, rounds=12)).first()
-    start = partition.partition_quality(m, m.row_ids().selectExpr("i as id", "cast(i div 10 as int) as part")).first()
-    assert q["cut_edges"] < start["cut_edges"]
+def communities(seed, k, size, inside, across):
+    """A graph of k communities, vertex v in community v mod k."""
+    rng = random.Random(seed)
+    n = k * size
+    e = {(i, j) for i in range(n) for j in range(i) if rng.random() < (inside if i % k == j % k else across)}
+    return sorted(e | {(j, i) for i, j in e}), n
+
+
+@pytest.mark.parametrize("ptype", ["kway", "rb"])
+@pytest.mark.parametrize("coarse", [12, 4096])
+def test_multilevel_partition_finds_communities(spark, ptype, coarse):
+    e, n = communities(3, 4, 20, 0.6, 0.01)
+    m = build(spark, e, n)
+    planted = sum(i % 4 != j % 4 for i, j in e) // 2
+    q = partition.partition_quality(m, partition.partition("multilevel", m, 4, ptype=ptype, coarse=coarse)).first()
+    assert q["cut_edges"] <= 1.3 * planted and q["largest"] <= 22 and q["parts"] == 4
+
+
+def test_partition_of_little(spark):
+    nothing = build(spark, [(0, 0)], 5)
+    assert sorted(r["id"] for r in partition.multilevel_partition(nothing, 2, coarse=2).collect()) == list(range(5))
+    star = [(0, k) for k in range(1, 40)]
+    parts = partition.multilevel_partition(build(spark, star + [(j, i) for i, j in star], 40), 2, coarse=4).collect()
+    assert len(parts) == 40 and max(sum(r["part"] == p for r in parts) for p in (0, 1)) <= 21
+
+
+@pytest.mark.parametrize("init", ["bfs", "block", "random"])
+def test_label_propagation_keeps_its_bounds(spark, init):
+    e, n = communities(5, 2, 20, 0.7, 0.02)
+    hub = [(0, k) for k in range(1, n)]
+    m = build(spark, sorted(set(e) | set(hub) | {(j, i) for i, j in hub}), n)
+    parts = {r["id"]: r["part"] for r in partition.label_partition(m, 2, 1.2, edge_balance=1.3, init=init).collect()}
+    start = {"block": lambda v: v * 2 // n, "bfs": None, "random": None}[init]
+    assert max(sum(p == s for p in parts.values()) for s in (0, 1)) <= 24
+    if start:
+        cut = lambda of: sum(of(i) != of(j) for i, j in e)
+        assert cut(parts.get) < cut(start)
+
+
+@pytest.mark.parametrize("objective", ["con", "cut"])
+def test_hypergraph_partition(spark, objective):
+    rng = random.Random(4)
+    pins = [(net, 2 * rng.randrange(15) + net % 2) for net in range(60) for _ in range(4)]
+    h = HyperGraph(spark.createDataFrame(pins, "net bigint, cell bigint"), 60, 30)
+    runs = spark.range(30).selectExpr("id", "cast(id div 15 as int) as part")
+    got = partition.hypergraph_quality(h, partition.partition("hypergraph", h, 2, balance=1.2, objective=objective)).first()
+    start = partition.hypergraph_quality(h, runs).first()
+    assert got["connectivity"] < start["connectivity"] and got["cut_nets"] < start["cut_nets"] and got["largest"] <= 18
+
+
+def test_partition_registry(spark):
+    m = build(spark, [(0, 1), (1, 0)], 4)
+    partition.register("even", lambda m, k: m.row_ids().selectExpr("i as id", f"cast(i % {k} as int) as part"))
+    assert partition.partition("even", m, 2).count() == 4
+    partition.unregister("even")
+    for wrong in (lambda: partition.partition("even", m, 2), lambda: partition.unregister("even")):
+        with pytest.raises(FunctionNotFoundError):
+            wrong()
+    assert {"minimum_degree", "dissection", "community"} <= set(reorder.ORDERS)
+    with pytest.raises(ReorderError):
+        partition.multilevel_partition(m, 3, "rb")
+
+
+def test_community_order_keeps_communities_together(spark):
+    e, n = communities(6, 5, 12, 0.7, 0.01)
+    pos = as_list(reorder.reorder("community", build(spark, e, n)))
+    by = sorted(range(n), key=pos.__getitem__)
+    assert sum(by[k] % 5 != by[k + 1] % 5 for k in range(n - 1)) <= 8
 
 
 def plain_minimum_degree(edges, n):
