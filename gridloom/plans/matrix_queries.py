@@ -9,7 +9,7 @@ from gridloom.operators import convert, density, features, graphs, partition, pe
 from gridloom.model import Dense1D, Graph
 from gridloom.runtime import Scratch
 from gridloom.sources import edge_list, metis, mtx, patoh, sbff
-from gridloom.sources.objects import co_purchase, line_order, part_supplier, pin_hypergraph, supplier_balance
+from gridloom.sources.objects import co_purchase, co_purchase_stored, line_order, part_supplier, pin_hypergraph, supplier_balance
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -295,7 +295,7 @@ def rcm_by_levels(spark, d):
 
 @query()
 def slashburn_reorder(spark, d):
-    m = co_purchase(spark, d)
+    m = co_purchase_stored(spark, d)
     return reorder.reorder("slashburn", m, k_size=max(1, m.n_rows // 200), hub_order=True)
 
 
@@ -303,7 +303,7 @@ def slashburn_reorder(spark, d):
 c AS (SELECT least(a.pos // (n // 8), 7) AS bi, least(b.pos // (n // 8), 7) AS bj, count(*) AS c FROM m JOIN po a ON a.id = i JOIN po b ON b.id = j, dims GROUP BY 1, 2)
 SELECT x.b AS bi, y.b AS bj, coalesce(c / (SELECT count(*) FROM m), 0.0) AS share FROM (SELECT unnest(range(8)) AS b) x CROSS JOIN (SELECT unnest(range(8)) AS b) y LEFT JOIN c ON bi = x.b AND bj = y.b""")
 def heatmap(spark, d):
-    m = co_purchase(spark, d)
+    m = co_purchase_stored(spark, d)
     order = reorder.degree_order(m)
     return density.heatmap(m, order, order, num_parts=8)
 
@@ -391,7 +391,7 @@ def mtx_symmetry_check(spark, d):
 @query(_CP + "SELECT i, j FROM m")
 def metis_round_trip(spark, d):
     at = Scratch(spark, "files").path + "/g.metis"
-    metis.write_metis(Graph(co_purchase(spark, d)), at)
+    metis.write_metis(Graph(co_purchase_stored(spark, d)), at)
     return metis.read_metis(spark, at, zero_based=True).connectivity.nz
 
 
@@ -453,67 +453,88 @@ def sbff_coo_round_trip(spark, d):
     return sbff.read_sbff_matrix(spark, at).nz
 
 
+#: Of eight parts: all ids have one, none is empty, the balance holds, and fewer edges are cut than by runs of ids, whose cut is given.
+_PARTS_SQL = _CP + """SELECT n AS ids, 8 AS parts, (SELECT count(*) FROM h WHERE least(i * 8 // n, 7) <> least(j * 8 // n, 7)) AS cut_of_runs, true AS balanced, true AS better FROM dims"""
 
 
-def _validity(kind: str):
-    """SQL of a check that an order or partition is valid, not of its quality."""
-    if kind == "order":
-        return "WITH d AS (SELECT max(l_partkey) + 1 AS n FROM lineitem) SELECT n, n AS ids, n AS positions, true AS valid FROM d"
-    return "WITH d AS (SELECT max(l_partkey) + 1 AS n FROM lineitem) SELECT n AS ids, 0::INT AS low, 7::INT AS high FROM d"
-
-
-def _valid_parts(parts):
-    return parts.agg(F.countDistinct("id").alias("ids"), F.min("part").cast("int").alias("low"), F.max("part").cast("int").alias("high"))
+def _valid_parts(m, balance: float, part):
+    ids = m.spark.range(m.n_rows)
+    runs = partition.partition_quality(m, ids.select("id", F.floor(F.col("id") * 8 / m.n_rows).cast("int").alias("part")))
+    parts = Scratch(m.spark, "files").write(part(m))
+    got = partition.partition_quality(m, parts).join(F.broadcast(parts.agg(F.countDistinct("id").alias("ids"))))  # one row each
+    both = got.join(F.broadcast(runs.select(F.col("cut_edges").alias("cut_of_runs"))))
+    most = -(-m.n_rows // 8) * balance
+    return both.select("ids", F.col("parts").cast("int").alias("parts"), "cut_of_runs", (F.col("largest") <= most).alias("balanced"), (F.col("cut_edges") < F.col("cut_of_runs")).alias("better"))
 
 
-@query(_validity("parts"))
+@query(_PARTS_SQL)
 def pulp_partition_validity(spark, d):
-    return _valid_parts(partition.label_partition(co_purchase(spark, d), 8))
+    return _valid_parts(co_purchase_stored(spark, d), 1.1, lambda m: partition.partition("label", m, 8))
 
 
-@query(_validity("parts"))
+@query(_PARTS_SQL)
 def metis_partition_kway_validity(spark, d):
-    return _valid_parts(partition.multilevel_partition(co_purchase(spark, d), 8))
+    return _valid_parts(co_purchase_stored(spark, d), 1.05, lambda m: partition.partition("multilevel", m, 8))
 
 
-@query(_validity("parts"))
+@query(_PARTS_SQL)
 def metis_partition_rb_validity(spark, d):
-    return _valid_parts(partition.multilevel_partition(co_purchase(spark, d), 8, "rb"))
+    return _valid_parts(co_purchase_stored(spark, d), 1.05, lambda m: partition.partition("multilevel", m, 8, ptype="rb"))
 
 
-@query("WITH d AS (SELECT max(cell) + 1 AS n FROM pins WHERE net IS NOT NULL) SELECT n AS ids, 0::INT AS low, 7::INT AS high FROM d")
+@query("""WITH p AS (SELECT DISTINCT net, cell FROM pins WHERE net IS NOT NULL AND cell IS NOT NULL), dims AS (SELECT max(cell) + 1 AS n FROM p),
+r AS (SELECT net, count(DISTINCT least(cell * 8 // n, 7)) AS c FROM p, dims GROUP BY 1)
+SELECT n AS ids, 8 AS parts, (SELECT sum(c - 1)::BIGINT FROM r) AS reach_of_runs, true AS balanced, true AS better FROM dims""")
 def patoh_partition_validity(spark, d):
-    return _valid_parts(partition.hypergraph_partition(pin_hypergraph(spark, d), 8))
+    h = pin_hypergraph(spark, d)
+    runs = spark.range(h.n_cells).select("id", F.floor(F.col("id") * 8 / h.n_cells).cast("int").alias("part"))
+    parts = Scratch(spark, "files").write(partition.partition("hypergraph", h, 8))
+    sizes = parts.agg(F.countDistinct("id").alias("ids"), F.countDistinct("part").cast("int").alias("parts"))
+    got = partition.hypergraph_quality(h, parts).join(F.broadcast(sizes))  # one row each
+    both = got.join(F.broadcast(partition.hypergraph_quality(h, runs).select(F.col("connectivity").alias("reach_of_runs"))))
+    return both.select("ids", "parts", "reach_of_runs", (F.col("largest") <= -(-h.n_cells // 8) * 1.1).alias("balanced"), (F.col("connectivity") < F.col("reach_of_runs")).alias("better"))
+
+
+@query("""WITH p AS (SELECT DISTINCT net, cell FROM pins WHERE net IS NOT NULL AND cell IS NOT NULL), r AS (SELECT net, count(DISTINCT cell % 8) AS c FROM p GROUP BY 1)
+SELECT count(*) FILTER (WHERE c > 1) AS cut_nets, sum(c - 1)::BIGINT AS connectivity, (SELECT (max(cell) + 8) // 8 FROM p) AS largest FROM r""")
+def hypergraph_quality(spark, d):
+    """The measures of the parts id mod 8."""
+    h = pin_hypergraph(spark, d)
+    return partition.hypergraph_quality(h, spark.range(h.n_cells).select("id", (F.col("id") % 8).cast("int").alias("part")))
+
+
+#: An order is a bijection, not more.
+_ORDER_SQL = "WITH d AS (SELECT max(l_partkey) + 1 AS n FROM lineitem) SELECT n, n AS ids, n AS positions, true AS valid FROM d"
 
 
 @query(_CP + """SELECT count(*) FILTER (WHERE i % 8 <> j % 8) AS cut_edges, count(*) AS edges, any_value((n + 7) // 8) AS largest, 8 AS parts FROM h, dims""")
 def partition_quality(spark, d):
     """The measures of the parts id mod 8."""
-    m = co_purchase(spark, d)
+    m = co_purchase_stored(spark, d)
     return partition.partition_quality(m, spark.range(m.n_rows).select("id", (F.col("id") % 8).cast("int").alias("part")))
 
 
-@query(_validity("order"))
+@query(_ORDER_SQL)
 def amd_reorder_validity(spark, d):
-    m = co_purchase(spark, d)
+    m = co_purchase_stored(spark, d)
     return permute.is_permutation(partition.minimum_degree_order(m), m.n_rows)
 
 
-@query(_validity("order"))
+@query(_ORDER_SQL)
 def nested_dissection_validity(spark, d):
-    m = co_purchase(spark, d)
+    m = co_purchase_stored(spark, d)
     return permute.is_permutation(partition.dissection_order(m), m.n_rows)
 
 
-@query(_validity("order"))
+@query(_ORDER_SQL)
 def rabbit_reorder_validity(spark, d):
-    m = co_purchase(spark, d)
+    m = co_purchase_stored(spark, d)
     return permute.is_permutation(partition.community_order(m), m.n_rows)
 
 
-@query(_validity("order"))
+@query(_ORDER_SQL)
 def rcm_reorder_validity(spark, d):
-    m = co_purchase(spark, d)
+    m = co_purchase_stored(spark, d)
     return permute.is_permutation(reorder.rcm_order(m), m.n_rows)
 
 

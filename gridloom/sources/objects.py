@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.model import Dense1D, HyperGraph, Sparse2D, matrix
+from gridloom.model import Dense1D, HyperGraph, Sparse2D
+from gridloom.runtime import Scratch
 from gridloom.sources.tables import table
 
 
@@ -29,6 +30,12 @@ def co_purchase(spark: SparkSession, d: str) -> Sparse2D:
     return Sparse2D(half.union(half.select("j", "i")), n, n)
 
 
+def co_purchase_stored(spark: SparkSession, d: str) -> Sparse2D:
+    """``co_purchase`` written once, for what reads it several times."""
+    m = co_purchase(spark, d)
+    return m.with_nz(Scratch(spark, "co_purchase").write(m.nz))
+
+
 def line_order(spark: SparkSession, d: str) -> Sparse2D:
     """Directed: from a part to those on later lines of one order."""
     n = _shape(spark, d)[0]
@@ -45,15 +52,6 @@ def pin_hypergraph(spark: SparkSession, d: str) -> HyperGraph:
     return HyperGraph(pins, (top["n"] if top["n"] is not None else -1) + 1, (top["c"] if top["c"] is not None else -1) + 1)
 
 
-def loaded_entries(spark: SparkSession, d: str) -> Sparse2D:
-    """All files' entries one after another: rows are file_id * rows of the largest shape + i, repeats of an entry_id once."""
-    nz = table(spark, d, "nonzeros").where("i is not null and j is not null and file_id is not null")
-    once = nz.groupBy("entry_id", "file_id", "i", "j").agg(F.max("v").alias("v"))
-    side = once.agg(F.max("i").alias("n"), F.max("file_id").alias("f")).first()
-    n = (side["n"] or 0) + 1
-    return matrix(once.select((F.col("file_id") * F.lit(n).cast("bigint") + F.col("i")).alias("i"), "j", "v"), n_rows=((side["f"] or 0) + 1) * n)
-
-
 def supplier_balance(spark: SparkSession, d: str) -> Dense1D:
     """Each supplier's balance in whole cents."""
     x = table(spark, d, "supplier").select(F.col("s_suppkey").alias("idx"), F.round(F.col("s_acctbal") * 100).alias("v"))
