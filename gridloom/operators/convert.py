@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Window
@@ -57,13 +58,14 @@ def csr_to_csc(c: DataFrame, n_rows: int, n_cols: int) -> DataFrame:
 def pointers(m: Sparse2D, by: str = "i") -> DataFrame:
     """(id, ptr) for id from 0 to n: how many non-zeros stand in the rows (or columns) before id.
 
-    The running sum is taken within range partitions, and over the totals of those; no task sees all rows.
+    The running sum is taken within runs of ids, and over the totals of those, as many as a run has ids; no task sees all rows.
     """
     n = m.n_rows if by == "i" else m.n_cols
     some = m.nz.groupBy(F.col(by).alias("id")).agg(F.count("*").alias("d"))
     full = m.spark.range(n + 1).join(some, "id", "left").select("id", F.coalesce("d", F.lit(0)).alias("d"))
-    width = max(1, -(-(n + 1) // 65536))
-    part = full.withColumn("part", F.floor(F.col("id") / 65536))
+    run = max(1024, math.isqrt(n))
+    width = -(-(n + 1) // run)
+    part = full.withColumn("part", F.floor(F.col("id") / run))
     totals = part.groupBy("part").agg(F.sum("d").alias("t"))
     if width > 1:
         before = F.coalesce(F.sum("t").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import math
 
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
@@ -40,7 +40,7 @@ def breadth_first(edges: DataFrame, roots: DataFrame, keys: list[str], scratch:
     ord grows with the place within the level, over all components: vertices stand by the place of the first vertex that
     reached them, then by ``keys``, then by id, as in a queue.
     """
-    at = scratch.write(roots.select("id", "comp", F.lit(0).alias("level"), F.col("ord").cast("bigint").alias("ord")))
+    at = scratch.write(roots.select(F.col("id").cast("bigint").alias("id"), F.col("comp").cast("bigint").alias("comp"), F.lit(0).alias("level"), F.col("ord").cast("bigint").alias("ord")))
     levels, before = [at], None
     while True:
         seen = at.select("id") if before is None else at.select("id").union(before.select("id"))
@@ -48,18 +48,18 @@ def breadth_first(edges: DataFrame, roots: DataFrame, keys: list[str], scratch:
         step = step.withColumnRenamed("v", "id").join(seen, "id", "left_anti").select("id", "s.*").withColumnRenamed("ord", "parent")
         new, count = in_order(step.withColumn("level", F.lit(len(levels))), ["parent", *keys, "id"], "ord", scratch)
         if not count:
-            return reduce(DataFrame.union, levels)
-        new = new.select("id", "comp", "level", "ord")
+            return scratch.read_all(levels, "id bigint, comp bigint, level int, ord bigint")
         levels.append(new)
-        before, at = at, new
+        before, at = at, new.select("id", "comp", "level", "ord")
 
 
 def running_offset(sizes: DataFrame, order: list[Column | str], scratch: Scratch) -> DataFrame:
     """``sizes`` with ``offset``, the sum of ``size`` over the rows before, in ``order``. One row for each component.
 
-    Places are ranked first; sums run within blocks of places and over the blocks' totals.
+    Places are ranked first; sums run within blocks of places and over the blocks' totals, as many as a block has places.
     """
-    ranked = rank_all(sizes, order, "place", scratch).withColumn("block", F.floor(F.col("place") / 65536))
+    sizes, n = scratch.write_counted(sizes)
+    ranked = rank_all(sizes, order, "place", scratch).withColumn("block", F.floor(F.col("place") / max(1024, math.isqrt(n))))
     totals = ranked.groupBy("block").agg(F.sum("size").alias("t"))
     base = F.coalesce(F.sum("t").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     own = F.coalesce(F.sum("size").over(Window.partitionBy("block").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -15,10 +15,11 @@ from gridloom.runtime import Scratch, shuffle_width
 
 def in_order(df: DataFrame, order: list[Column | str], name: str, scratch: Scratch) -> tuple[DataFrame, int]:
     """``df`` written with a BIGINT that grows in ``order`` but skips numbers, and its number of rows."""
-    df = df.persist()  # a range partitioning reads its input twice, first for a sample
+    held = None if hasattr(df, "_gridloom_at") else scratch.write(df)  # a range partitioning reads its input twice, first for a sample
+    df = df if held is None else held
     placed = df.repartitionByRange(shuffle_width(df.sparkSession), *order).sortWithinPartitions(*order)
     out = scratch.write_counted(placed.select(*df.columns, F.monotonically_increasing_id().alias(name)))
-    df.unpersist()
+    scratch.drop(held)
     return out
 
 

@@ -11,6 +11,8 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -37,7 +39,7 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 
 class Scratch:
-    """A folder of written tables for one run of an operator. It goes when Python exits, single tables by ``drop``."""
+    """A folder of written tables for one run of an operator. It goes when Python exits or a ``scratch_of`` ends, single tables by ``drop``."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.path, self._n = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}", 0
@@ -62,6 +64,10 @@ class Scratch:
         out._gridloom_at = at
         return out, seen.get
 
+    def read_all(self, tables: list[DataFrame], schema: str) -> DataFrame:
+        """The rows of several tables of ``write``, by one scan, however many they are."""
+        return self.spark.read.schema(schema).parquet(*(t._gridloom_at for t in tables))
+
     def folder(self) -> str:
         """The scratch folder, made if need be, for files of other kinds."""
         p = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
@@ -78,6 +84,18 @@ class Scratch:
         _delete(self.spark, self.path)
 
 
+@contextmanager
+def scratch_of() -> Iterator[None]:
+    """Deletes on leaving what the operators called within have written to the shared folder; use their results before."""
+    before = len(_open)
+    try:
+        yield
+    finally:
+        for s in _open[before:]:
+            s.close()
+        del _open[before:]
+
+
 def drop_scratch() -> None:
     """Delete the intermediate tables of all operators that ran so far; DataFrames that read them are then dead."""
     while _open:

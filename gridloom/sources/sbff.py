@@ -1,23 +1,26 @@
 """Binary array files: a JSON header of 1,024 bytes, then for each array a JSON header of 1,024 bytes and its raw values.
 
-Writing appends one array after another to one file, in chunks that the driver passes on; reading is done by the
-executors, a range of each array at a time.
+Writing and reading are done by the executors, a range of each array at a time; the ranges written are then joined to
+one file.
 """
 
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs as pafs
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.errors import ReaderError
 from gridloom.model import Dense1D, Sparse2D, matrix
 from gridloom.operators.convert import coo_order, pointers
+from gridloom.runtime import shuffle_width
+from gridloom.sources.text import join_files
 
 #: The length of a header and the names of the element types.
 HEADER = 1024
@@ -93,39 +96,54 @@ def read_sbff_matrix(spark: SparkSession, path: str) -> Sparse2D:
     return matrix(nz.join(rows, "idx"), n_rows, n_cols)
 
 
-def _append(sink, df: DataFrame, order: Column | str, column: str, name: str, size: int) -> None:
+def _write_values(df: DataFrame, position: str, column: str, folder: str, number: int) -> dict:
+    """Write one array as part files, a range of positions each, from the executors; gives its element type."""
     kind = {"int": np.int32, "bigint": np.int64, "float": np.float32, "double": np.float64}[dict(df.dtypes)[column]]
-    header = {"name": name, "type": KINDS[np.dtype(kind).kind], "type_size": np.dtype(kind).itemsize, "array_size": size}
-    sink.write(json.dumps(header).ljust(HEADER).encode())
-    ordered = df.orderBy(order).select(column)
-    for row in ordered.mapInArrow(_to_bytes(column), "b binary").toLocalIterator():
-        sink.write(bytes(row["b"]))
 
-
-def _to_bytes(column: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (fs, at), name, sink = _open(folder), "", None
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([b[column].to_numpy(zero_copy_only=False).tobytes()], pa.binary())], ["b"])
-
-    return run
-
-
-def _write(path: str, name: str, dims: list[int], arrays: list[tuple]) -> None:
-    fs, at = _open(path)
-    with fs.open_output_stream(at) as sink:
-        sink.write(json.dumps({"name": name, "array_count": len(arrays), "dimensions": dims, "endian": "little"}).ljust(HEADER).encode())
-        for a in arrays:
-            _append(sink, *a)
+            if b.num_rows and sink is None:
+                name, own = f"{at}/part-{number:04d}-{b[position][0].as_py():020d}", uuid.uuid4().hex
+                sink = fs.open_output_stream(f"{at}/_{own}")
+            if b.num_rows:
+                sink.write(b[column].to_numpy(zero_copy_only=False).astype(kind).tobytes())
+        if sink is not None:  # a whole file takes its place at once, so a task may run twice
+            sink.close()
+            fs.move(f"{at}/_{own}", name)
+            yield pa.RecordBatch.from_arrays([pa.array([name])], ["name"])
+
+    placed = df.select(position, column).repartitionByRange(shuffle_width(df.sparkSession), position).sortWithinPartitions(position)
+    placed.mapInArrow(run, "name string").count()
+    return {"type": KINDS[np.dtype(kind).kind], "type_size": np.dtype(kind).itemsize}
+
+
+def _write(spark: SparkSession, path: str, name: str, dims: list[int], arrays: list[tuple]) -> None:
+    """Arrays are (table, position, column, name, size). Headers and values are part files, which are then joined."""
+    parts = path.rstrip("/") + ".parts"
+    fs, at = _open(parts)
+    if fs.get_file_info(at).type != pafs.FileType.NotFound:
+        fs.delete_dir(at)
+    fs.create_dir(at)
+
+    def header(number: int, what: dict) -> None:
+        with fs.open_output_stream(f"{at}/part-{number:04d}") as sink:
+            sink.write(json.dumps(what).ljust(HEADER).encode())
+
+    header(0, {"name": name, "array_count": len(arrays), "dimensions": dims, "endian": "little"})
+    for k, (df, position, column, array, size) in enumerate(arrays):
+        header(2 * k + 1, {"name": array} | _write_values(df, position, column, parts, 2 * k + 2) | {"array_size": size})
+    join_files(spark, parts, path)
 
 
 def write_sbff_array(x: Dense1D, path: str) -> None:
-    _write(path, "array", [x.length], [(x.data, "idx", "v", "array", x.length)])
+    _write(x.data.sparkSession, path, "array", [x.length], [(x.data, "idx", "v", "array", x.length)])
 
 
 def write_sbff_matrix(m: Sparse2D, path: str, layout: str = "csr") -> None:
-    """Write ``m`` as 'coo' or 'csr', in (i, j) order. Batches pass the driver one at a time."""
+    """Write ``m`` as 'coo' or 'csr', in (i, j) order."""
     placed = coo_order(m)
     n = placed.count()
     rest = [(placed, "pos", "j", "col", n), *([(placed, "pos", "v", "vals", n)] if m.valued else [])]
     first = (placed, "pos", "i", "row", n) if layout == "coo" else (pointers(m), "id", "ptr", "row_ptr", m.n_rows + 1)
-    _write(path, layout, [m.n_rows, m.n_cols], [first, *rest])
+    _write(m.spark, path, layout, [m.n_rows, m.n_cols], [first, *rest])
