@@ -61,8 +61,8 @@ class Sparse2D:
 
     def symmetrised(self) -> DataFrame:
         """(u, v), u <> v: each edge in both directions, once."""
-        e = self.nz.where("i <> j").select(F.col("i").alias("u"), F.col("j").alias("v"))
-        return e.union(e.select("v", "u")).distinct()
+        both = F.explode(F.array(F.struct(F.col("i").alias("u"), F.col("j").alias("v")), F.struct(F.col("j").alias("u"), F.col("i").alias("v"))))
+        return self.nz.where("i <> j").select(both.alias("e")).select("e.u", "e.v").distinct()
 
 
 @dataclass(frozen=True)

@@ -37,7 +37,7 @@ def oriented(nz: DataFrame, scratch: Scratch) -> DataFrame:
     return both.select(pick(F.col("b"), F.col("a")).alias("u"), pick(F.col("a"), F.col("b")).alias("v"), pick(F.col("da"), F.col("db")).alias("dv"), pick(swapped, F.col("mask")).alias("mask"))
 
 
-def _wedges(lists: DataFrame) -> DataFrame:
+def _wedges(lists: DataFrame, kind: str) -> DataFrame:
     """(v, u, uv, items) from (u, items): each list as that of v = u, with u = -1, and what follows v in each list that holds v, with the edge's mask."""
 
     def rows(v: np.ndarray, u: np.ndarray, uv: np.ndarray, ends: np.ndarray, items: pa.Array) -> pa.RecordBatch:
@@ -48,7 +48,7 @@ def _wedges(lists: DataFrame) -> DataFrame:
             size, items, own = b["items"].value_lengths().to_numpy().astype(np.int64), b["items"].flatten(), b["u"].to_numpy()
             none = np.full(len(size), -1)
             yield rows(own, none, none * 0, np.r_[0, np.cumsum(size)], items)
-            codes, row = items.to_numpy(), np.repeat(np.arange(len(size)), size)
+            codes, row = items.to_numpy().astype(np.int64), np.repeat(np.arange(len(size)), size)
             after = np.cumsum(size)[row] - np.arange(len(row)) - 1
             at = 0
             while at < len(row):
@@ -60,7 +60,7 @@ def _wedges(lists: DataFrame) -> DataFrame:
                 yield rows(codes[here] >> 2, own[row[here]], codes[here] & 3, np.r_[0, np.cumsum(n)], items.take(pa.array(take)))
                 at = end
 
-    return lists.mapInArrow(run, "v bigint, u bigint, uv tinyint, items array<bigint>")
+    return lists.mapInArrow(run, f"v bigint, u bigint, uv tinyint, items array<{kind}>")
 
 
 def _meet(batches: Iterator[pa.RecordBatch], n: int, out: Callable[..., pa.RecordBatch | None]) -> Iterator[pa.RecordBatch]:
@@ -73,7 +73,7 @@ def _meet(batches: Iterator[pa.RecordBatch], n: int, out: Callable[..., pa.Recor
     for b in batches:
         if not b.num_rows:
             continue
-        v, u, size, codes = b["v"].to_numpy(), b["u"].to_numpy(), b["items"].value_lengths().to_numpy(), b["items"].flatten().to_numpy()
+        v, u, size, codes = b["v"].to_numpy(), b["u"].to_numpy(), b["items"].value_lengths().to_numpy(), b["items"].flatten().to_numpy().astype(np.int64)
         own, row = u < 0, np.repeat(np.arange(b.num_rows), size)
         turn = np.cumsum(own)  # 0 for what belongs to the list that the batch before ended with
         lists_v = np.r_[held_v, v[own]]
@@ -98,10 +98,11 @@ def _meet(batches: Iterator[pa.RecordBatch], n: int, out: Callable[..., pa.Recor
 
 
 def _listed(m: Sparse2D, out: Callable[..., pa.RecordBatch | None], schema: str, scratch: Scratch) -> DataFrame:
-    item = F.struct("dv", "v", (F.col("v") * 4 + F.col("mask")).alias("code"))
-    lists = oriented(m.nz, scratch).groupBy("u").agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["code"]).alias("items"))
     n = max(m.dimensions)
-    return _wedges(lists).repartition("v").sortWithinPartitions("v", "u").mapInArrow(lambda batches: _meet(batches, n, out), schema)
+    kind = "int" if 4 * n < 2**31 else "bigint"  # items take four bytes where they fit
+    item = F.struct("dv", "v", (F.col("v") * 4 + F.col("mask")).cast(kind).alias("code"))
+    lists = oriented(m.nz, scratch).groupBy("u").agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["code"]).alias("items"))
+    return _wedges(lists, kind).repartition("v").sortWithinPartitions("v", "u").mapInArrow(lambda batches: _meet(batches, n, out), schema)
 
 
 def count(m: Sparse2D, directed: bool) -> DataFrame:

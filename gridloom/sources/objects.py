@@ -27,7 +27,8 @@ def co_purchase(spark: SparkSession, d: str) -> Sparse2D:
     each = table(spark, d, "lineitem").select("l_orderkey", "l_partkey").distinct()
     other = each.withColumnRenamed("l_partkey", "j")
     half = each.join(other, "l_orderkey").where("l_partkey < j").select(F.col("l_partkey").alias("i"), "j").distinct()
-    return Sparse2D(half.union(half.select("j", "i")), n, n)
+    both = F.explode(F.array(F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j"))))  # a union would join twice
+    return Sparse2D(half.select(both.alias("e")).select("e.i", "e.j"), n, n)
 
 
 def co_purchase_stored(spark: SparkSession, d: str) -> Sparse2D:
