@@ -10,11 +10,28 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gridloom.errors import FunctionNotFoundError
 from gridloom.model import Sparse2D
 from gridloom.operators.permute import permute_2d
 from gridloom.operators.reorder import reorder
 
 log = logging.getLogger("gridloom")
+#: Levels by name, from all messages to none.
+LEVELS = {"trace": 5, "debug": logging.DEBUG, "info": logging.INFO, "warning": logging.WARNING, "error": logging.ERROR, "off": logging.CRITICAL + 1}
+
+
+def set_log(level: str = "warning", to_console: bool = True, file: str | None = None) -> None:
+    """Messages of ``level`` and above go to the console, a file or both; what an earlier call set up is replaced."""
+    if level not in LEVELS:
+        raise FunctionNotFoundError(f"no level is named {level}")
+    for h in list(log.handlers):
+        log.removeHandler(h)
+        h.close()
+    for h in [logging.StreamHandler()] * to_console + ([logging.FileHandler(file)] if file else []):
+        h.setFormatter(logging.Formatter("%(asctime)s %(levelname)s %(message)s"))
+        log.addHandler(h)
+    log.setLevel(LEVELS[level])
+    log.propagate = False
 
 
 @dataclass

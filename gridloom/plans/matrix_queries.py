@@ -299,6 +299,16 @@ def slashburn_reorder(spark, d):
     return reorder.reorder("slashburn", m, k_size=max(1, m.n_rows // 200), hub_order=True)
 
 
+@query("WITH d AS (SELECT max(l_partkey) + 1 AS n FROM lineitem) SELECT n AS ids, n AS same FROM d")
+def slashburn_agreement(spark, d):
+    """How many vertices the distributed steps put where the order within a task puts them."""
+    m = co_purchase_stored(spark, d)
+    k = max(1, m.n_rows // 4)
+    one, other = (reorder.slashburn_order(m, k, hub_order=True, **how) for how in ({}, {"task_edges": 0}))
+    both = one.join(other.withColumnRenamed("pos", "at"), "id")
+    return both.agg(F.count("*").alias("ids"), F.count(F.when(F.col("pos") == F.col("at"), 1)).alias("same"))
+
+
 @query(_CP + """, po AS (SELECT id, row_number() OVER (ORDER BY degree, id DESC) - 1 AS pos FROM dr),
 c AS (SELECT least(a.pos // (n // 8), 7) AS bi, least(b.pos // (n // 8), 7) AS bj, count(*) AS c FROM m JOIN po a ON a.id = i JOIN po b ON b.id = j, dims GROUP BY 1, 2)
 SELECT x.b AS bi, y.b AS bj, coalesce(c / (SELECT count(*) FROM m), 0.0) AS share FROM (SELECT unnest(range(8)) AS b) x CROSS JOIN (SELECT unnest(range(8)) AS b) y LEFT JOIN c ON bi = x.b AND bj = y.b""")

@@ -127,4 +127,5 @@ def ship_package(spark: SparkSession) -> None:
         for f in sorted(root.rglob("*.py")):
             z.write(f, f.relative_to(root.parent))
     spark.sparkContext.addPyFile(at)
+    atexit.register(lambda: os.path.exists(at) and os.remove(at))
     _shipped.add(app)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from gridloom.model import Sparse2D
 
-#: 3 x 3 with values, and 7 x 7 symmetric with an empty row.
+#: 3 x 3 with values, and 7 x 7 symmetric with an empty row.
 A = [(0, 1, 1.0), (0, 2, 2.0), (1, 0, 3.0), (2, 0, 4.0)]
 B_PTR, B_COL = [0, 2, 2, 5, 7, 9, 11, 12], [2, 3, 0, 3, 4, 0, 2, 2, 5, 4, 6, 5]
 

@@ -28,3 +28,19 @@ def test_layouts_and_graphs(spark, tmp_path):
     api.write_mtx(m, str(tmp_path / "m"))
     assert api.graph_from_mtx(spark, str(tmp_path / "m")).m() == 4
     assert api.read_mtx_csr(spark, str(tmp_path / "m")).count() == 3
+
+
+def test_log_levels_and_sinks(tmp_path):
+    from gridloom import experiment
+    from gridloom.errors import FunctionNotFoundError
+
+    at = tmp_path / "log"
+    experiment.set_log("info", to_console=False, file=str(at))
+    experiment.log.info("kept")
+    experiment.log.debug("left out")
+    experiment.set_log("off")
+    experiment.log.error("left out")
+    assert at.read_text().endswith("INFO kept\n") and "left out" not in at.read_text()
+    with pytest.raises(FunctionNotFoundError):
+        experiment.set_log("loud")
+    experiment.log.propagate = True

@@ -1,7 +1,6 @@
 import math
-import statistics
-
 import random
+import statistics
 
 import pytest
 from helpers import A, B_COL, B_PTR, build, from_csr

@@ -5,6 +5,7 @@ from gridloom.errors import ReaderError, WriterError
 from gridloom.model import Dense1D, Graph, HyperGraph
 from gridloom.sources import edge_list, metis, mtx, patoh, sbff
 
+#: The entries of the format examples.
 BASE = [(1, 0, 0.1), (2, 1, 0.3), (3, 0, 0.2), (4, 2, 0.4), (4, 3, 0.5)]
 VECTOR = [0, 0.1, 0, 0.3, 0.2, 0.4, 0, 0, 0.5, 0]
 
