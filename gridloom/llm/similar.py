@@ -32,6 +32,8 @@ from gridloom.runtime import Scratch
 _NEAR = 1e-9
 #: Values are ordered by the count of their hash bucket, rarer ones first: a table of this size, whatever the data.
 _BUCKETS = 1 << 16
+#: So many keys of 8 bytes may be broadcast; more are joined by a shuffle.
+_FEW_KEYS = 1_000_000
 #: Records of more values have single values as signatures, whose number does not grow with the square of the size.
 _PAIRED = 64
 
@@ -213,15 +215,20 @@ def replicate(live: DataFrame, homes: DataFrame, num: int, den: int, scratch: Sc
 def similar_classes(sets: DataFrame, num: int = 3, den: int = 4) -> tuple[DataFrame, DataFrame]:
     """(pairs, members) for ``record_sets`` at the threshold num / den, 0 < num <= den.
 
-    members: (rec, rep) of each record; records with equal sets form a class whose smallest record stands for it.
+    members: (rec, rep, copies) of each record; records with equal sets form a class of so many copies, whose smallest
+    record stands for it.
     pairs: (rep_a, rep_b, common, size_a, size_b) of each two classes at or above the threshold, once, in either order.
     Without rows both are empty.
     """
     scratch = Scratch(sets.sparkSession, "similar")
-    sets = scratch.write(sets.select("rec", "vals"))
-    classes = scratch.write(sets.groupBy("vals").agg(F.min("rec").alias("rep"), F.count("*").alias("copies")))
-    copied = sets.join(classes.where("copies > 1").select("vals", "rep"), "vals").select("rec", "rep")
-    members = classes.where("copies = 1").select(F.col("rep").alias("rec"), "rep").union(copied)
+    sets = scratch.write(sets.select("rec", "vals", F.xxhash64("vals").alias("key")))
+    classes = sets.groupBy("key", "vals").agg(F.min("rec").alias("rep"), F.count("*").alias("copies"))
+    classes, seen = scratch.write_observed(classes, {"several": F.count(F.when(F.col("copies") > 1, 1))})
+    several = classes.where("copies > 1")
+    keys = several.select("key")
+    keys = F.broadcast(keys) if seen["several"] <= _FEW_KEYS else keys
+    copied = sets.join(keys, "key", "left_semi").join(several, ["key", "vals"]).select("rec", "rep", "copies")
+    members = classes.where("copies = 1").select(F.col("rep").alias("rec"), "rep", "copies").union(copied)
     live, heads = live_records(classes.select(F.col("rep").alias("rec"), "vals"), num, den, scratch)
     homes = elect_homes(live, heads, num, den, scratch)
     cells = replicate(live, homes, num, den, scratch)
@@ -247,7 +254,8 @@ def similar_pairs(rows: DataFrame, num: int = 3, den: int = 4, id: str = "i", va
     across = pairs.join(m("a"), "rep_a").join(m("b"), "rep_b")
     union = F.col("size_a") + F.col("size_b") - F.col("common")
     across = across.select(F.least("row_a", "row_b").alias("row_a"), F.greatest("row_a", "row_b").alias("row_b"), (F.col("common") / union).alias("jaccard"))
-    equal = m("a").join(m("b").withColumnRenamed("rep_b", "rep_a"), "rep_a").where("row_a < row_b")
+    copied = members.where("copies > 1").select(F.col("rec").alias("row_a"), "rep")
+    equal = copied.join(copied.withColumnRenamed("row_a", "row_b"), "rep").where("row_a < row_b")
     return across.union(equal.select("row_a", "row_b", F.lit(1.0)))
 
 
@@ -257,7 +265,7 @@ def similar_summary(rows: DataFrame, num: int = 3, den: int = 4, id: str = "i",
     No pair within a class is made, so groups of copies cost no more than other records.
     """
     pairs, members = similar_classes(record_sets(rows, id, values), num, den)
-    copies = members.groupBy("rep").agg(F.count("*").alias("copies"))
+    copies = members.where("rec = rep").select("rep", "copies")
     both = pairs.select(F.col("rep_a").alias("rep"), F.col("rep_b").alias("other")).union(pairs.select("rep_b", "rep_a"))
     links = both.join(copies.withColumnRenamed("rep", "other"), "other").groupBy("rep").agg(F.sum("copies").alias("links"))
     whole = copies.join(links, "rep", "left").select("rep", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
