@@ -39,6 +39,12 @@ def p4_pairs(spark, d):
     return out.selectExpr("item_a as cell_a", "item_b as cell_b", "n_ab", "n_a", "n_b", "round(lift, 6) as lift")
 
 
+def p4_all_pairs(spark, d):
+    """Every pair of cells that share a net."""
+    out = together.pairs_together(table(spark, d, "pins"))
+    return out.selectExpr("item_a as cell_a", "item_b as cell_b", "n_ab", "n_a", "n_b", "round(lift, 6) as lift")
+
+
 def p5_found(spark, d):
     """Pairs of rows whose sets of columns have a Jaccard similarity of at least 0.75."""
     return similar.similar_pairs(table(spark, d, "csr_rows"), 3, 4).select("row_a", "row_b")
@@ -98,7 +104,7 @@ def p8_share(spark, d):
     return spans.shared_share(docs, spans.shared_spans(docs, 200))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_groups, p4_found, p4_blocked, p4_pairs, p5_found, p5_links, p6_ids, p6_decoded, p7_mixture, p7_shares, p7_valid, p8_found, p8_share)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_groups, p4_found, p4_blocked, p4_pairs, p4_all_pairs, p5_found, p5_links, p6_ids, p6_decoded, p7_mixture, p7_shares, p7_valid, p8_found, p8_share)}
 
 _GROUPS = """
 WITH RECURSIVE half AS (SELECT DISTINCT least(i, j) AS a, greatest(i, j) AS b FROM pair_matches WHERE i IS NOT NULL AND j IS NOT NULL AND i <> j),
@@ -151,6 +157,7 @@ SELECT r.id, coalesce(g.group_id, r.id) AS group_id FROM r LEFT JOIN g ON g.id =
     "p4_found": _P4,
     "p4_blocked": _P4,
     "p4_pairs": _PAIRS + "SELECT cell_a, cell_b, n_ab, n_a, n_b, round(n_ab::DOUBLE * total / (n_a::DOUBLE * n_b), 6) AS lift FROM s WHERE cell_a % 50 = 0 OR cell_b % 50 = 0",
+    "p4_all_pairs": _PAIRS + "SELECT cell_a, cell_b, n_ab, n_a, n_b, round(n_ab::DOUBLE * total / (n_a::DOUBLE * n_b), 6) AS lift FROM s",
     "p5_found": _SETS + "SELECT row_a, row_b FROM p",
     "p5_links": _SETS + """, w AS (SELECT i, list(c ORDER BY c) AS cols FROM s GROUP BY 1),
 d AS (SELECT cols, min(i) AS class_id FROM w GROUP BY 1), l AS (SELECT row_a AS i FROM p UNION ALL SELECT row_b FROM p),
