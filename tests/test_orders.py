@@ -170,6 +170,14 @@ def communities(seed, k, size, inside, across):
     return sorted(e | {(j, i) for i, j in e}), n
 
 
+def test_multilevel_partition_coarsens_where_matching_stalls(spark):
+    """Eight stars whose leaves alternate: an edge joins few of their vertices, and of runs of ids the last two never meet a hub."""
+    star = [(h, leaf) for h in range(8) for leaf in range(8 + h, 240, 8)]
+    m = build(spark, star + [(j, i) for i, j in star], 240)
+    q = partition.partition_quality(m, partition.multilevel_partition(m, 4, "rb", coarse=32)).first()
+    assert q["parts"] == 4 and q["cut_edges"] <= 60
+
+
 @pytest.mark.parametrize("ptype", ["kway", "rb"])
 @pytest.mark.parametrize("coarse", [12, 4096])
 def test_multilevel_partition_finds_communities(spark, ptype, coarse):
