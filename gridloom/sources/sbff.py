@@ -14,7 +14,6 @@ import numpy as np
 import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from gridloom.errors import ReaderError
 from gridloom.model import Dense1D, Sparse2D, matrix
@@ -49,28 +48,41 @@ def _dtype(a: dict, endian: str) -> np.dtype:
     return np.dtype({v: k for k, v in KINDS.items()}[a["type"]] + str(a["type_size"])).newbyteorder("<" if endian == "little" else ">")
 
 
+class _Values:
+    """The values of the arrays in an open file."""
+
+    def __init__(self, f: pa.NativeFile, arrays: dict[str, dict], endian: str):
+        self._f, self._arrays, self._kinds = f, arrays, {name: _dtype(a, endian) for name, a in arrays.items()}
+
+    def __call__(self, name: str, first: int, size: int) -> np.ndarray:
+        a, kind = self._arrays[name], self._kinds[name]
+        got = np.frombuffer(self._f.read_at(size * kind.itemsize, a["offset"] + first * kind.itemsize), kind)
+        return got.astype({"float": np.float32, "double": np.float64, "int": np.int32, "bigint": np.int64}[_spark_type(a)])
+
+
+def _spark_type(a: dict) -> str:
+    return _SPARK[a["type"], a["type_size"]]
+
+
 def read_array(spark: SparkSession, path: str, name: str, column: str, chunk: int = 1 << 22) -> DataFrame:
     """(idx, column) of one array, by ranges of ``chunk`` elements."""
     top, arrays = read_headers(path)
     if name not in arrays:
         raise ReaderError(f"{path} has no array {name}")
-    a = arrays[name]
-    n, kind = a["array_size"], _dtype(a, top["endian"])
-    spark_type = _SPARK[a["type"], a["type_size"]]
+    n, endian = arrays[name]["array_size"], top["endian"]
     parts = -(-n // chunk)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, at = _open(path)
         with fs.open_input_file(at) as f:
+            values = _Values(f, arrays, endian)
             for b in batches:
                 for part in b["id"].to_pylist():
                     first = part * chunk
                     size = min(chunk, n - first)
-                    got = np.frombuffer(f.read_at(size * kind.itemsize, a["offset"] + first * kind.itemsize), kind)
-                    wide = {"float": np.float32, "double": np.float64, "int": np.int32, "bigint": np.int64}[spark_type]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(first, first + size)), pa.array(got.astype(wide))], ["idx", column])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(first, first + size)), pa.array(values(name, first, size))], ["idx", column])
 
-    return spark.range(0, parts, 1, max(1, parts)).mapInArrow(run, f"idx bigint, {column} {spark_type}")
+    return spark.range(0, parts, 1, max(1, parts)).mapInArrow(run, f"idx bigint, {column} {_spark_type(arrays[name])}")
 
 
 def read_sbff_array(spark: SparkSession, path: str) -> Dense1D:
@@ -80,20 +92,52 @@ def read_sbff_array(spark: SparkSession, path: str) -> Dense1D:
     return Dense1D(read_array(spark, path, "array", "v"), top["dimensions"][0])
 
 
-def read_sbff_matrix(spark: SparkSession, path: str) -> Sparse2D:
-    """The matrix in a file of the kind 'coo' or 'csr'."""
+def _rows_of(values: _Values, ends: int, first: int, last: int, step: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(first element, row of each) of the elements from ``first`` to before ``last``, by the ``ends`` pointers, ``step`` rows at a time."""
+    row, high = 0, ends - 1
+    while row < high:  # the last row that starts no later than the first element
+        mid = (row + high + 1) // 2
+        if values("row_ptr", mid, 1)[0] <= first:
+            row = mid
+        else:
+            high = mid - 1
+    while row < ends - 1:
+        ptr = values("row_ptr", row, min(step + 1, ends - row))
+        held = np.clip(ptr, first, last)
+        yield int(held[0]), np.repeat(np.arange(row, row + len(ptr) - 1), np.diff(held))
+        if ptr[-1] >= last:
+            return
+        row += len(ptr) - 1
+
+
+def read_sbff_matrix(spark: SparkSession, path: str, chunk: int = 1 << 20) -> Sparse2D:
+    """The matrix in a file of the kind 'coo' or 'csr', by ranges of ``chunk`` non-zeros, each with its own piece of every array."""
     top, arrays = read_headers(path)
-    if top["name"] not in ("coo", "csr"):
-        raise ReaderError(f"{path} holds {top['name']}")
-    n_rows, n_cols = top["dimensions"]
-    cols = read_array(spark, path, "col", "j")
-    nz = cols.join(read_array(spark, path, "vals", "v"), "idx") if "vals" in arrays else cols
-    if top["name"] == "coo":
-        return matrix(nz.join(read_array(spark, path, "row", "i"), "idx"), n_rows, n_cols)
-    ends = read_array(spark, path, "row_ptr", "ptr")
-    spans = ends.join(ends.select((F.col("idx") - 1).alias("idx"), F.col("ptr").alias("end")), "idx").where("end > ptr")
-    rows = spans.select(F.col("idx").alias("i"), F.explode(F.sequence("ptr", F.col("end") - 1)).alias("idx"))
-    return matrix(nz.join(rows, "idx"), n_rows, n_cols)
+    layout, endian = top["name"], top["endian"]
+    if layout not in ("coo", "csr"):
+        raise ReaderError(f"{path} holds {layout}")
+    if missing := {"col", "row" if layout == "coo" else "row_ptr"} - set(arrays):
+        raise ReaderError(f"{path} has no array {min(missing)}")
+    of = {"j": "col"} | ({"v": "vals"} if "vals" in arrays else {}) | ({"i": "row"} if layout == "coo" else {})
+    n = min(arrays[a]["array_size"] for a in of.values())
+    parts = -(-n // chunk)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, at = _open(path)
+        with fs.open_input_file(at) as f:
+            values = _Values(f, arrays, endian)
+            for b in batches:
+                for first in [part * chunk for part in b["id"].to_pylist()]:
+                    last = min(first + chunk, n)
+                    got = {c: values(a, first, last - first) for c, a in of.items()}
+                    pieces = [(first, got["i"])] if layout == "coo" else _rows_of(values, arrays["row_ptr"]["array_size"], first, last, chunk)
+                    for start, i in pieces:
+                        own = slice(start - first, start - first + len(i))
+                        columns = {"i": i} | {c: got[c][own] for c in ("j", "v") if c in got}
+                        yield pa.RecordBatch.from_arrays([pa.array(x if c == "v" else x.astype(np.int64)) for c, x in columns.items()], list(columns))
+
+    schema = "i bigint, j bigint" + (f", v {_spark_type(arrays['vals'])}" if "v" in of else "")
+    return matrix(spark.range(0, parts, 1, max(1, parts)).mapInArrow(run, schema), *top["dimensions"])
 
 
 def _write_values(df: DataFrame, position: str, column: str, folder: str, number: int) -> dict:

@@ -181,6 +181,18 @@ def test_binary_files(spark, tmp_path, layout):
     assert sorted(map(tuple, sbff.read_array(spark, at, "array", "v", chunk=2).collect())) == [(0, 1), (1, 2), (2, 3)]
 
 
+@pytest.mark.parametrize("layout", ["csr"])
+def test_binary_matrices_are_read_without_joins(spark, tmp_path, layout, capsys):
+    """Their arrays look tiny to Spark, which would send them through the driver to join them."""
+    rows = [(i, j, float(i - j)) for i in (2, 3, 11) for j in range(0, 9, i)] + [(5, j, 1.0) for j in range(9)]
+    m, at = build(spark, rows, 15, 9), str(tmp_path / "m")
+    sbff.write_sbff_matrix(m, at, layout)
+    for more in ({}, {"chunk": 1}, {"chunk": 4}):
+        assert triples(sbff.read_sbff_matrix(spark, at, **more)) == triples(m)
+    sbff.read_sbff_matrix(spark, at).nz.explain()
+    assert "Join" not in capsys.readouterr().out
+
+
 def test_big_endian(spark, tmp_path):
     import json
 
