@@ -93,6 +93,37 @@ def test_slashburn_in_a_task(seed):
             assert slashburn_places(*cols, n, k, greedy, hub).tolist() == plain_slashburn(e, n, k, greedy, hub)
 
 
+def test_slashburn_in_a_task_walks_through_little(monkeypatch):
+    """The largest component is not queued anew in each round."""
+    import numpy as np
+
+    from gridloom.operators import in_task
+
+    walked, walk = [], in_task.walk
+    monkeypatch.setattr(in_task, "walk", lambda *a, **k: walked.append(len((got := walk(*a, **k))[0])) or got)
+    monkeypatch.setattr(in_task, "_TOGETHER", 64, raising=False)
+    n, e = 150, random_graph(5, 150, 700)
+    u, v = np.array(sorted(e)).T
+    assert in_task.slashburn_places(u, v, np.zeros(len(u), int), v, n, 2, False, True).tolist() == plain_slashburn(e, n, 2, hub_order=True)
+    assert sum(walked) <= n
+
+
+def test_lists_from_batches_in_any_sequence():
+    import numpy as np
+    import pyarrow as pa
+
+    from gridloom.operators.in_task import listed
+
+    rows = [(u, v) for u in (3, 5, 2**40) for v in (2**40, 5, 3) if u != v]  # descending, as lists may be
+    at = [10, 11, 12, 50, 51, 52]
+    for order in ([0, 1, 2, 3, 4, 5], [4, 5, 0, 1, 2, 3], [2, 3, 4, 5, 0, 1], [3, 0, 4, 1, 5, 2]):
+        for size in (1, 2, 4, 6):
+            parts = [order[k : k + size] for k in range(0, 6, size)]
+            batches = [pa.RecordBatch.from_arrays([pa.array([rows[k][0] for k in p]), pa.array([rows[k][1] for k in p]), pa.array([at[k] for k in p])], ["u", "v", "at"]) for p in parts]
+            ids, adj = listed(batches)
+            assert ids.tolist() == [3, 5, 2**40] and adj.col.tolist() == [2, 1, 2, 0, 1, 0] and np.diff(adj.ptr).tolist() == [2, 2, 2]
+
+
 def plain_gray(rows, n, m, res, threshold, group):
     res0 = res
     res = min(res, m)
