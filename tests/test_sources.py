@@ -66,6 +66,22 @@ def test_arrays_and_vectors(spark, put):
         assert x.length == 10 and [r["v"] for r in x.data.orderBy("idx").collect()] == VECTOR
 
 
+def test_arrays_are_written_and_read_by_blocks(spark, put, tmp_path, monkeypatch):
+    ordered, write = [], mtx.write_lines
+    monkeypatch.setattr(mtx, "write_lines", lambda df, *a: ordered.append(df.count()) or write(df, *a))
+    rows, at = [(0, 0, 1.5), (299, 217, -2.0), (299, 218, 4.0), (0, 219, 5.0), (299, 299, 3.0)], str(tmp_path / "a")
+    mtx.write_mtx(build(spark, rows, 300), at, "array")
+    assert ordered[0] <= 4  # the cells themselves need no ordering
+    assert spark.read.text(at).count() == 300 * 300 + 2 and triples(mtx.read_mtx(spark, at)) == sorted(rows)
+    body = ["0", "1.5 ", "", "% note", "0.0", "\t-2", " 3 2", "0.1", "00"]
+    for step in (1, 3, 7, 1 << 24):
+        monkeypatch.setattr("gridloom.sources.text.RANGE_BYTES", step)
+        for end in ("\n", "\r\n", "\r"):
+            for last in ("", end):
+                m = mtx.read_mtx(spark, put(end.join(["%%MatrixMarket matrix array real general", "3 2", *body]) + last))
+                assert triples(m) == [(0, 1, -2.0), (1, 0, 1.5), (1, 1, 0.1)]
+
+
 @pytest.mark.parametrize("text", ["", "5 5 1\n1 1 1\n", "%%MatrixMarket vector coordinate real general\n5 1\n", "%%MatrixMarket matrix coordinate complex general\n1 1 1\n1 1 1 1\n", "%%MatrixMarket matrix coordinate real hermitian\n1 1 1\n", "%%MatrixMarket matrix array pattern general\n1 1\n", "%%MatrixMarket matrix coordinate real general\n% no size\n", "%%MatrixMarket matrix coordinate real general\n5 5\n"])
 def test_bad_headers(spark, put, text):
     with pytest.raises(ReaderError):
