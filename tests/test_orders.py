@@ -108,6 +108,26 @@ def test_slashburn_in_a_task_walks_through_little(monkeypatch):
     assert sum(walked) <= n
 
 
+def test_minimum_degree_looks_at_few_lists_again(monkeypatch):
+    import numpy as np
+
+    from gridloom.operators import in_task
+
+    looked, of = [], in_task.Adjacency.of
+    monkeypatch.setattr(in_task.Adjacency, "of", lambda self, front: looked.append(int(self.degree[front].sum())) or of(self, front))
+    e = random_graph(6, 300, 3000)
+    u, v = np.array(e).T
+    ids, when, at = in_task.minimum_degree_rounds(u, v)
+    alive, near, r = set(range(300)), {k: {j for i, j in e if i == k} for k in range(300)}, 0
+    while alive:
+        key = {k: (len(near[k]), k) for k in alive}
+        gone = {k for k in alive if all(key[k] < key[j] for j in near[k])}
+        assert {int(k) for k in ids[when == r]} == gone and all(at[k] == key[k][0] for k in gone)
+        alive, r = alive - gone, r + 1
+        near = {k: near[k] - gone for k in alive}
+    assert 0 < sum(looked) < len(e) * r / 3  # all lists in all rounds would be several times that
+
+
 def test_lists_from_batches_in_any_sequence():
     import numpy as np
     import pyarrow as pa
